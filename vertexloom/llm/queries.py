@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vertexloom.llm import byte_bpe, token_counts
+from vertexloom.llm import byte_bpe, mixing, simhash, token_counts
 from vertexloom.llm._common import read_table
 
 
@@ -20,13 +20,21 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.Mix().decide(read_table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest_documents(read_table(spark, sf_dir, "documents"), _vocabulary())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_token_counts, op6_simhash, op7_mixing, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_mixing": mixing.ORACLE}
