@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vertexloom.llm import byte_bpe, mixing, simhash, token_counts
+from vertexloom.llm import byte_bpe, mixing, quality, simhash, token_counts, toxicity
 from vertexloom.llm._common import read_table
 
 
@@ -20,6 +20,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -33,7 +41,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op6_simhash, op7_mixing, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_token_counts, op2_toxicity, op4_quality, op6_simhash, op7_mixing, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
