@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vertexloom.llm import byte_bpe, mixing, quality, simhash, token_counts, toxicity
+from vertexloom.llm import byte_bpe, mixing, mtree, one_bit_codes, quality, simhash, token_counts, toxicity
 from vertexloom.llm._common import read_table
 
 
@@ -28,6 +29,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op5_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.exact_top_k(read_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -40,8 +45,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest_documents(read_table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op10_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return one_bit_codes.approximate_top_k(read_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_toxicity, op4_quality, op6_simhash, op7_mixing, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_token_counts, op2_toxicity, op4_quality, op5_mtree_top_k, op6_simhash, op7_mixing, op9_byte_bpe, op10_one_bit_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
