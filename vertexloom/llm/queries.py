@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.llm import byte_bpe, mixing, mtree, one_bit_codes, quality, simhash, token_counts, toxicity
-from vertexloom.llm._common import read_table
+from vertexloom.llm import byte_bpe, licenses, mixing, mtree, one_bit_codes, quality, simhash, token_counts, toxicity, warc
+from vertexloom.llm._common import read_table, scratch_path
 
 
 def _vocabulary() -> str:
@@ -25,6 +25,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_digests(read_table(spark, sf_dir, "pages"), scratch_path(spark, "op3-warc"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -41,6 +45,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix().decide(read_table(spark, sf_dir, "documents"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.document_licences(read_table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest_documents(read_table(spark, sf_dir, "documents"), _vocabulary())
 
@@ -50,8 +58,12 @@ def op10_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_toxicity, op4_quality, op5_mtree_top_k, op6_simhash, op7_mixing, op9_byte_bpe, op10_one_bit_codes)}
+    found = (
+        op1_token_counts, op2_toxicity, op3_warc, op4_quality, op5_mtree_top_k, op6_simhash, op7_mixing, op8_licenses, op9_byte_bpe, op10_one_bit_codes,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.ORACLE}
+    """The classifiers, the searches, the fingerprints and the tokenizer have no SQL; their tests hold them against brute force."""
+    return {"op3_warc": warc.ORACLE, "op7_mixing": mixing.ORACLE, "op8_licenses": licenses.ORACLE}
