@@ -48,6 +48,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows written as a table of the shared folder and read from it, and its path.
+
+    Unlike a checkpoint's, its plan knows its true size; sizes that loops estimate from one checkpoint to the next multiply.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def held_out(doc_id):
     """True where crc32 of doc_id's decimal text leaves no remainder by 5: rows that no model learns from."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
