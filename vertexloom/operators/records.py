@@ -32,7 +32,7 @@ def pr_impact(graph: PropertyGraph, files: DataFrame) -> DataFrame:
     sources = graph.nodes.where("source_file <> ''").select("source_file").distinct()
     asked = files.select("pr", "file").distinct()
     whole = asked.join(sources.select("source_file", F.explode(tails("source_file")).alias("file")), "file")
-    part = asked.select("pr", F.explode(tails("file")).alias("source_file")).join(sources, "source_file", "left_semi")
+    part = asked.select("pr", F.explode(tails("file")).alias("source_file")).join(sources, "source_file", "left_semi").select("pr", "source_file")
     hits = whole.select("pr", "source_file").union(part).distinct()
     return hits.join(graph.nodes.select("source_file", "community"), "source_file").groupBy("pr").agg(F.count("*").alias("n_nodes"), F.count_distinct("community").alias("n_communities"))
 

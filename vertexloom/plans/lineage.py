@@ -3,21 +3,34 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes the rows to the shared folder that spark.checkpoint.dir names and reads them back.
-
-    A local session without that setting gets a temporary folder; a cluster has to name one.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a local session without it gets a temporary one, a cluster has to name it."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not (context.master == "local" or context.master.startswith("local[")):
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             folder = "file://" + tempfile.mkdtemp(prefix="vertexloom-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Writes the rows to the shared folder and reads them back."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def table(df: DataFrame) -> DataFrame:
+    """The rows as a written table of the shared folder, for loops: a checkpoint hands its plan's estimated size on, and
+    joins multiply it from round to round, while a table's size is known."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
