@@ -459,26 +459,18 @@ def budget_cut(spark, sf):
     return traverse.within_budget(rows.withColumn("line", F.concat_ws(" ", "id", "label")), 2000).select("id", "hop", "place")
 
 
-@query(
-    f"{_ADJ},\n"
-    + _levels(4, "SELECT 'c:1' AS id", guard="")
-    + """,
-lv AS (SELECT id, 0 AS hop FROM l0 UNION ALL SELECT id, 1 FROM l1 UNION ALL SELECT id, 2 FROM l2 UNION ALL SELECT id, 3 FROM l3 UNION ALL SELECT id, 4 FROM l4),
-len AS (SELECT hop AS n FROM lv WHERE id = 'c:2'),
-b4 AS (SELECT 'c:2' AS id, n AS hop FROM len),
-b3 AS (SELECT DISTINCT lv.id, lv.hop FROM lv, len, adj WHERE lv.hop = n - 1 AND adj.src = lv.id AND adj.dst IN (SELECT id FROM b4)),
-b2 AS (SELECT DISTINCT lv.id, lv.hop FROM lv, len, adj WHERE lv.hop = n - 2 AND adj.src = lv.id AND adj.dst IN (SELECT id FROM b3)),
-b1 AS (SELECT DISTINCT lv.id, lv.hop FROM lv, len, adj WHERE lv.hop = n - 3 AND adj.src = lv.id AND adj.dst IN (SELECT id FROM b2)),
-b0 AS (SELECT DISTINCT lv.id, lv.hop FROM lv, len, adj WHERE lv.hop = n - 4 AND adj.src = lv.id AND adj.dst IN (SELECT id FROM b1)),
-on_path AS (SELECT * FROM b4 UNION SELECT * FROM b3 UNION SELECT * FROM b2 UNION SELECT * FROM b1 UNION SELECT * FROM b0),
-p1 AS (SELECT min(o.id) AS id FROM on_path o JOIN adj ON adj.dst = o.id WHERE o.hop = 1 AND adj.src = 'c:1'),
-p2 AS (SELECT min(o.id) AS id FROM on_path o JOIN adj ON adj.dst = o.id JOIN p1 ON adj.src = p1.id WHERE o.hop = 2),
-p3 AS (SELECT min(o.id) AS id FROM on_path o JOIN adj ON adj.dst = o.id JOIN p2 ON adj.src = p2.id WHERE o.hop = 3),
-p4 AS (SELECT min(o.id) AS id FROM on_path o JOIN adj ON adj.dst = o.id JOIN p3 ON adj.src = p3.id WHERE o.hop = 4)
-SELECT 0 AS place, 'c:1' AS id UNION ALL SELECT 1, id FROM p1 WHERE id IS NOT NULL UNION ALL SELECT 2, id FROM p2 WHERE id IS NOT NULL
-UNION ALL SELECT 3, id FROM p3 WHERE id IS NOT NULL UNION ALL SELECT 4, id FROM p4 WHERE id IS NOT NULL""",
-    star=True,
-)
+def _route_sql(source: str, target: str, longest: int = 8) -> str:
+    """Least route by levels from the source, then back from the target, then the least id at every hop."""
+    ks = range(1, longest + 1)
+    out = [_ADJ, _levels(longest, f"SELECT '{source}' AS id", guard=""), "lv AS (" + " UNION ALL ".join(f"SELECT id, {k} AS hop FROM l{k}" for k in range(longest + 1)) + ")"]
+    out += [f"len AS (SELECT hop AS n FROM lv WHERE id = '{target}')", f"b0 AS (SELECT '{target}' AS id, n AS hop FROM len)"]
+    out += [f"b{k} AS (SELECT DISTINCT lv.id, lv.hop FROM lv, len, adj WHERE lv.hop = n - {k} AND adj.src = lv.id AND adj.dst IN (SELECT id FROM b{k - 1}))" for k in ks]
+    out += ["on_path AS (" + " UNION ".join(f"SELECT * FROM b{k}" for k in range(longest + 1)) + ")", f"p0 AS (SELECT '{source}' AS id)"]
+    out += [f"p{k} AS (SELECT min(o.id) AS id FROM on_path o JOIN adj ON adj.dst = o.id JOIN p{k - 1} p ON adj.src = p.id WHERE o.hop = {k})" for k in ks]
+    return ",\n".join(out) + "\n" + " UNION ALL ".join(f"SELECT {k} AS place, id FROM p{k} WHERE id IS NOT NULL" for k in range(longest + 1))
+
+
+@query(_route_sql("c:1", "c:2"), star=True)
 def shortest_path(spark, sf):
     return traverse.shortest_path(star_graph(spark, sf), "c:1", "c:2", undirected=True)
 
