@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text handled at once inside a Python worker; one longer text is handled alone.
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 19
+#: Rows of an Arrow column that become Python strings at once.
+SLICE_ROWS = 512
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,16 +70,23 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def text_chunks(texts: list[str | None], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, list[str]]]:
-    """Runs of whole texts of about `limit` characters, with the index of the first; null counts as empty."""
-    start, held, size = 0, [], 0
-    for i, text in enumerate(texts):
-        text = text or ""
-        if held and size + len(text) > limit:
-            yield start, held
-            start, held, size = i, [], 0
-        held.append(text)
-        size += len(text)
+def text_chunks(texts: list[str | None] | pa.Array, limit: int | None = None) -> Iterator[tuple[int, list[str]]]:
+    """Runs of whole texts of about `limit` characters, with the index of the first; null counts as empty.
+
+    An Arrow column turns into strings slice by slice, so a batch is never held twice.
+    """
+    limit = limit or CHUNK_CHARS
+    start, held, size, at = 0, [], 0, 0
+    for low in range(0, len(texts), SLICE_ROWS):
+        part = texts[low : low + SLICE_ROWS]
+        for text in part.to_pylist() if isinstance(part, pa.Array) else part:
+            text = text or ""
+            if held and size + len(text) > limit:
+                yield start, held
+                start, held, size = at, [], 0
+            held.append(text)
+            size += len(text)
+            at += 1
     if held:
         yield start, held
 

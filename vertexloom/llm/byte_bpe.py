@@ -18,6 +18,7 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 
 from vertexloom.llm._common import record_batch, text_chunks
 
-#: Pieces whose merges a worker remembers; the cache starts anew beyond it.
-CACHE_PIECES = 1 << 19
+#: Pieces whose merges a worker remembers; beyond it only the KEPT_PIECES learned first, mostly common ones, stay.
+CACHE_PIECES = 1 << 17
+KEPT_PIECES = 1 << 15
 #: Bytes from which a piece is merged with a heap instead of by scanning all pairs.
 HEAP_BYTES = 96
 NO_RANK = 1 << 30
@@ -301,7 +303,7 @@ class ByteBpe:
         split = list(self.split(texts))
         wanted = set().union(*split)
         if len(self.pieces) > CACHE_PIECES:
-            self.pieces.clear()
+            self.pieces = dict(islice(self.pieces.items(), KEPT_PIECES))
         self._learn(wanted.difference(self.pieces))
         piece = self.pieces.__getitem__
         for tokens in split:
@@ -339,7 +341,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     def run(batches):
         bpe = worker_bpe(vocabulary, ranges)
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
+            keys, texts = batch.column(0), batch.column(1)
             for first, chunk in text_chunks(texts):
                 ids = [np.frombuffer(x, "<i4") for x in bpe.encode(chunk)]
                 yield pa.RecordBatch.from_arrays(
@@ -375,7 +377,7 @@ def digest_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
         bpe = worker_bpe(vocabulary, ranges)
         rest = pa.schema([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
+            keys, texts = batch.column(0), batch.column(1)
             counts, ids_digests, decoded_digests = [], [], []
             for _, chunk in text_chunks(texts):
                 for ids in bpe.encode(chunk):

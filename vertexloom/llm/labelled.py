@@ -57,7 +57,7 @@ def score_documents(docs: DataFrame, scorer: Callable[[], Scorer], threshold: fl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer()
         for batch in batches:
-            found = [score(chunk) for _, chunk in text_chunks(batch.column(1).to_pylist())]
+            found = [score(chunk) for _, chunk in text_chunks(batch.column(1))]
             values = np.concatenate(found) if found else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.astype(np.float64))], names=[id_col, "score"])
 
@@ -72,7 +72,7 @@ def keep_where(docs: DataFrame, scorer: Callable[[], Scorer], keep: Callable[[np
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer()
         for batch in batches:
-            found = [score(chunk) for _, chunk in text_chunks(batch.column(at).to_pylist())]
+            found = [score(chunk) for _, chunk in text_chunks(batch.column(at))]
             if found:
                 yield batch.filter(pa.array(keep(np.concatenate(found))))
 

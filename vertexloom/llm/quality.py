@@ -38,8 +38,8 @@ RANK = 48
 NEIGHBOURS = 15
 POWER = 8
 BLOCK = 256
-CACHE_WORDS = 1 << 19
-CHUNK = 1 << 19
+CACHE_WORDS = 1 << 17
+CHUNK = 1 << 18
 
 
 
@@ -87,7 +87,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen, n = Words(), np.zeros(FEATURES, np.int64), 0
         for batch in batches:
-            for _, chunk in text_chunks(batch.column(0).to_pylist(), CHUNK):
+            for _, chunk in text_chunks(batch.column(0), CHUNK):
                 seen += (words(chunk) > 0).sum(axis=0)
                 n += len(chunk)
         at = np.flatnonzero(seen)

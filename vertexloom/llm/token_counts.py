@@ -108,7 +108,7 @@ def count_tokens(
     def run(batches):
         bpe = worker_bpe(vocabulary, ranges)
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
+            keys, texts = batch.column(0), batch.column(1)
             given = batch.column(2).to_pylist() if spans_col else None
             for base, chunk in text_chunks(texts):
                 rows, parts = [], []

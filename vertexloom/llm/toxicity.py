@@ -39,7 +39,7 @@ LEAST_SHARE = 0.01
 SIGNIFICANT = 4.0
 SHRINK_ROWS = 50  # of the overall threshold in a language's own
 BANDS = 3  # of three minima each, for leaving near copies out of the sample
-CACHE_WORDS = 1 << 19
+CACHE_WORDS = 1 << 17
 
 LANGUAGES = ("en", "de", "fr", "es")
 _FUNCTION_WORDS = (
