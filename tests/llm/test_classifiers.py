@@ -84,6 +84,21 @@ def test_nothing_to_learn_from(spark):
     assert toxicity.keep_clean(docs, one).columns == docs.columns
 
 
+def test_best_cut():
+    assert toxicity.best_cut(np.array([1.0, 2.0, 5.0, 6.0]), np.array([0, 0, 1, 1])) == 3.5
+    assert toxicity.best_cut(np.array([2.0, 2.0, 2.0]), np.array([0, 1, 0])) > 2  # nothing tells them apart: none is toxic
+    assert toxicity.best_cut(np.array([2.0, 3.0]), np.array([1, 1])) < 2
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="needs the test tables")
+def test_few_labels_keep_clean_documents(spark):
+    docs, labels = (read_table(spark, "/root/testdata/sf0.001", t) for t in ("documents", "labels"))
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    kept = {r.doc_id for r in toxicity.keep_clean(docs, labels).collect()}
+    clean = [i for i, t in truth.items() if t == 0]
+    assert sum(i in kept for i in clean) >= 0.9 * len(clean)
+
+
 def test_sample_is_bounded(frames):
     docs, labels, _, _ = frames
     texts, y = labelled.sample(docs, labels, "toxic", 40)

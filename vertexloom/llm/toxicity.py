@@ -37,6 +37,8 @@ LEAST_ROWS = 15  # of each class, for a threshold of a language's own
 LEAST_DOCUMENTS = 3  # a bucket seen in fewer sampled documents, or in less than LEAST_SHARE of the positive ones, stays zero
 LEAST_SHARE = 0.01
 SIGNIFICANT = 4.0
+SIGNIFICANT_SHARE = 0.5
+LEAST_PRECISION = 0.8
 SHRINK_ROWS = 50  # of the overall threshold in a language's own
 BANDS = 3  # of three minima each, for leaving near copies out of the sample
 CACHE_WORDS = 1 << 17
@@ -126,7 +128,8 @@ def evidence(buckets: np.ndarray, owner: np.ndarray, y: np.ndarray) -> tuple[np.
     positive = np.bincount(bucket, weights=y[document], minlength=BUCKETS + 1)
     share = y.mean()
     z = (positive - share * seen) / np.sqrt(share * (1 - share) * seen + 1)
-    score = np.sign(z) * np.clip((np.abs(z) - SIGNIFICANT) / SIGNIFICANT, 0, 1)
+    least = min(SIGNIFICANT, SIGNIFICANT_SHARE * float(np.abs(z).max()))  # a small sample's best evidence is weaker
+    score = np.sign(z) * np.clip((np.abs(z) - least) / max(least, 1e-9), 0, 1)
     known = (seen >= max(LEAST_DOCUMENTS, LEAST_SHARE * y.sum())) & (score != 0)
     return np.where(known, score, 0), known
 
@@ -241,15 +244,22 @@ def train(texts: list[str], y: np.ndarray, seed: int = 5) -> Network:
 
 
 def best_cut(z: np.ndarray, y: np.ndarray) -> float:
-    """Middle of the widest gap among the cuts of highest F1; z >= cut counts as 1."""
+    """Middle of the widest gap among the cuts of highest F1; z >= cut counts as 1.
+
+    Only cuts of LEAST_PRECISION count, so that clean documents stay where little can be told; if there is none, or only the
+    one that calls everything 1, the cut lies above all of z.
+    """
     order = np.argsort(z, kind="stable")
     z, y = z[order], y[order]
     right = np.cumsum(y[::-1])[::-1].astype(float)  # positives at or above each place
     f1 = 2 * right / (y.sum() + np.arange(len(z), 0, -1))
     lower = np.r_[z[0] - 2.0, z[:-1]]
+    f1[right < LEAST_PRECISION * np.arange(len(z), 0, -1)] = -1
     f1[lower == z] = -1  # no cut between equal values
     best = np.flatnonzero(f1 >= f1.max() - 1e-12)
     k = best[np.argmax((z - lower)[best])]
+    if f1[k] < 0 or (k == 0 and not y.all()):
+        return float(z[-1] + 1.0)
     return float((z[k] + lower[k]) / 2)
 
 
