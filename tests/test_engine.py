@@ -170,6 +170,12 @@ def test_fuzzy_merges(spark):
     assert [(r.id, r.survivor) for r in kept.collect()] == [("e0", "e1")]
 
 
+def test_every_pair_of_a_large_bucket_is_a_candidate(spark):
+    labels = sorted("abcdef" * k for k in range(2, 152))  # one set of shingles
+    found = dedup.candidate_pairs(spark.createDataFrame([(x,) for x in labels], "key string")).collect()
+    assert sorted((r.a, r.b) for r in found) == list(itertools.combinations(labels, 2))
+
+
 def test_unicode_functions(spark):
     row = spark.createDataFrame([("Straße  Ärger_Ünïcode--É", "f()()", "ß")], "a string, b string, c string").select(text.normalize_id("a").alias("i"), text.norm_label(F.col("a")).alias("n"), text.bare_label(F.col("b")).alias("b"), text.search_tokens(F.col("a")).alias("t")).first()
     assert row.i == "strasse_ärger_ünïcode_é" and row.n == "straße  arger_unicode--e" and row.b == "f"

@@ -17,6 +17,7 @@ MERGE, AMBIGUOUS = 92.0, 75.0
 LEAST_ENTROPY = 2.5
 PERMUTATIONS, BAND_ROWS = 128, 8
 LONG_LABEL = 12
+BLOCK = 64
 
 
 def jaro(a: str, b: str) -> float:
@@ -112,19 +113,17 @@ def signatures(labels: DataFrame, key: str = "key") -> DataFrame:
 
 
 def candidate_pairs(labels: DataFrame) -> DataFrame:
-    """(a, b): labels (key) of a common band, each pair once.
+    """(a, b): all labels of a common band, each pair once.
 
-    In a bucket of more than 64 labels each is paired with the bucket's least label and the label before it in sorted
-    order instead of with all others; banding is approximate in any case, and merges are closed over links.
+    A bucket is split into blocks of about BLOCK labels by a hash; each block meets every label of its bucket in a group of
+    its own, so a large bucket's pairs spread over tasks.
     """
     spread = signatures(labels.select("key").distinct()).select("key", F.inline("bands"))
-    bucket = Window.partitionBy("band", "digest")
-    rows = spread.withColumns({"n": F.count("*").over(bucket), "head": F.min("key").over(bucket)}).where("n > 1")
-    small = rows.where("n <= 64")
-    pairs = small.select("band", "digest", F.col("key").alias("a")).join(small.select("band", "digest", F.col("key").alias("b")), ["band", "digest"]).where("a < b").select("a", "b")
-    large = rows.where("n > 64").withColumn("before", F.lag("key").over(bucket.orderBy("key")))
-    chained = large.select(F.explode(F.array_distinct(F.array("head", "before"))).alias("a"), F.col("key").alias("b")).where("a < b")
-    return pairs.union(chained).distinct()
+    blocks = F.ceil(F.count("*").over(Window.partitionBy("band", "digest")) / BLOCK).cast("int")
+    rows = spread.withColumn("blocks", blocks)
+    own = rows.select("band", "digest", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), F.col("key").alias("a"))
+    every = rows.select("band", "digest", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("key").alias("b"))
+    return own.join(every, ["band", "digest", "block"]).where("a < b").select("a", "b").distinct()
 
 
 def fuzzy_pairs(nodes: DataFrame) -> DataFrame:
