@@ -115,6 +115,13 @@ def test_betweenness_against_brute_force(spark):
     assert all(abs(got[n] - score[n]) < 1e-6 for n in names)
 
 
+def test_betweenness_pivots(spark):
+    assert [cluster.pivot_count(*x) for x in ((5, 4), (1000, 10**9), (1001, 10), (10**6, 10**6), (10**7, 10**8))] == [5, 1000, 100, 25, 10]
+    star = graph(spark, {"hub": 0} | {f"v{i}": 0 for i in range(1000)}, [("hub", f"v{i}", "calls") for i in range(1000)])
+    scores = {r.id: r.score for r in cluster.betweenness(star).where("score > 0").collect()}
+    assert set(scores) == {"hub"} and scores["hub"] in (99 * 999 / 2, 100 * 999 / 2)  # whether or not the hub is a pivot
+
+
 def test_communities_find_planted_groups(spark):
     rng = random.Random(8)
     edges = [(f"{g}{a:02d}", f"{g}{b:02d}", "calls") for g in "xyz" for a, b in itertools.combinations(range(9), 2) if rng.random() < 0.8]

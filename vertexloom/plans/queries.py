@@ -909,7 +909,7 @@ def communities(spark, sf):
 
 @query()
 def betweenness(spark, sf):
-    return cluster.betweenness(star_graph(spark, sf), 8).select("id", F.round("score", 4).alias("score"))
+    return cluster.betweenness(star_graph(spark, sf)).select("id", F.round("score", 4).alias("score"))
 
 
 # ---- records ----------------------------------------------------------------------------------------------------------
