@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,6 +137,15 @@ def test_communities_find_planted_groups(spark):
     assert {r.id: r.community for r in cluster.detect(PropertyGraph(g.nodes.repartition(3), g.edges.repartition(5))).collect()} == by
 
 
+def test_communities_merge_until_modularity_stops_rising(spark):
+    n = 90
+    g = graph(spark, {f"v{i:02d}": 0 for i in range(n)}, [(f"v{i:02d}", f"v{i + 1:02d}", "calls") for i in range(n - 1)])
+    by = {int(r.id[1:]): r.community for r in cluster.detect(g).collect()}
+    mass = {c: sum((i > 0) + (i < n - 1) for i in by if by[i] == c) for c in set(by.values())}
+    between = Counter((by[i], by[i + 1]) if by[i] < by[i + 1] else (by[i + 1], by[i]) for i in range(n - 1) if by[i] != by[i + 1])
+    assert all(links <= mass[a] * mass[b] / (2 * (n - 1)) + 1e-6 for (a, b), links in between.items())
+
+
 def test_collapse_precedence(spark):
     g = graph(spark, dict.fromkeys("abcdef", 0), [
         ("a", "b", "references"), ("a", "b", "calls"), ("b", "a", "calls"),  # specific beats generic, a reversed duplicate goes
