@@ -146,6 +146,15 @@ def test_communities_merge_until_modularity_stops_rising(spark):
     assert all(links <= mass[a] * mass[b] / (2 * (n - 1)) + 1e-6 for (a, b), links in between.items())
 
 
+def test_tree_keeps_every_child(spark):
+    files = [f"d/{i:03d}/x.py" for i in range(120)] + [f"e/{i:03d}.py" for i in range(60)]
+    g = graph(spark, {f: {"source_file": f} for f in files}, [])
+    rows = analytics.tree_rollup(g).collect()
+    leaves = {r.path: r.leaves for r in rows}
+    assert set(files) <= set(leaves) and len(rows) == 2 + 120 + len(files) and leaves["d"] == 120 and leaves["e"] == 60
+    assert all(sum(r.leaves for r in rows if r.parent == p) == leaves[p] for p in {r.parent for r in rows} - {""})
+
+
 def test_collapse_precedence(spark):
     g = graph(spark, dict.fromkeys("abcdef", 0), [
         ("a", "b", "references"), ("a", "b", "calls"), ("b", "a", "calls"),  # specific beats generic, a reversed duplicate goes

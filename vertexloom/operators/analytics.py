@@ -116,14 +116,12 @@ def wiki_audit(graph: PropertyGraph) -> DataFrame:
     return touched.groupBy("community", "confidence").agg(F.count("*").alias("n"))
 
 
-def tree_rollup(graph: PropertyGraph, most_children: int = 50) -> DataFrame:
-    """(path, parent, depth, leaves): every directory and file with the nodes below it, at most so many children a parent."""
+def tree_rollup(graph: PropertyGraph) -> DataFrame:
+    """(path, parent, depth, leaves): every directory and file with the nodes below it."""
     parts = F.filter(F.split("source_file", "/"), lambda p: p != "")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(F.array_join(F.slice(parts, 1, n), "/").alias("path"), F.array_join(F.slice(parts, 1, n - 1), "/").alias("parent"), n.alias("depth")))
     rows = graph.nodes.where("source_file <> ''").groupBy("source_file").count().select(F.inline(F.when(F.size(parts) > 0, prefixes)), F.col("count"))
-    sums = rows.groupBy("path", "parent", "depth").agg(F.sum("count").alias("leaves"))
-    place = F.row_number().over(Window.partitionBy("parent").orderBy(F.desc("leaves"), "path"))
-    return sums.withColumn("place", place).where(F.col("place") <= most_children).drop("place")
+    return rows.groupBy("path", "parent", "depth").agg(F.sum("count").alias("leaves"))
 
 
 def surprises(graph: PropertyGraph, top_n: int = 10) -> DataFrame:
