@@ -146,6 +146,13 @@ def test_communities_merge_until_modularity_stops_rising(spark):
     assert all(links <= mass[a] * mass[b] / (2 * (n - 1)) + 1e-6 for (a, b), links in between.items())
 
 
+def test_bridge_nodes_are_asked_about_after_ambiguous_edges(spark):
+    pairs = [("a0", "a1"), ("a0", "a2"), ("a1", "a2"), ("a0", "b0"), ("b0", "b1"), ("b0", "b2"), ("b1", "b2"), ("b2", "b3"), ("b3", "b4")]
+    g = graph(spark, {n: {"label": f"entity {n}", "community": "ab".index(n[0])} for n in sorted(set(sum(pairs, ())))}, [(a, b, "calls", {"confidence": "AMBIGUOUS" if (a, b) == ("a1", "a2") else "EXTRACTED"}) for a, b in pairs])
+    rows = [(r.kind, r.subject) for r in analytics.suggested_questions(g).orderBy("place").collect()]
+    assert rows == [("ambiguous", "a1 a2"), ("bridge_node", "b0"), ("isolated", "1"), ("bridge_node", "a0")]  # b2 is among the three, within one community
+
+
 def test_tree_keeps_every_child(spark):
     files = [f"d/{i:03d}/x.py" for i in range(120)] + [f"e/{i:03d}.py" for i in range(60)]
     g = graph(spark, {f: {"source_file": f} for f in files}, [])

@@ -154,16 +154,29 @@ def bridges(graph: PropertyGraph, top_n: int = 10) -> DataFrame:
     return best.orderBy("e.rank", "e.ord", "a", "b").limit(top_n).select("a", "b", "e.src", "e.dst", "e.relation", "e.confidence")
 
 
-def suggested_questions(graph: PropertyGraph, top_n: int = 7) -> DataFrame:
-    """(kind, subject, place): ambiguous edges, much-inferred hubs, isolated nodes and loose communities, taken in turn."""
+def bridge_nodes(graph: PropertyGraph, top_n: int = 3) -> DataFrame:
+    """(id, score): of the top_n entities by betweenness those with a neighbour in another community."""
+    from vertexloom.operators.cluster import betweenness  # cluster imports this module
+
+    rows = graph.nodes.join(graph.degrees(), "id").join(betweenness(graph).where("score > 0"), "id")
+    plain = ~is_file_node(F.col("label"), F.col("source_file"), F.col("degree")) & ~is_concept_node(F.col("source_file"))
+    top = rows.where(plain).select("id", F.round("score", 6).alias("score"), F.col("community").alias("own")).orderBy(F.desc("score"), "id").limit(top_n)
+    near = top.join(graph.adjacency().withColumnRenamed("src", "id"), "id").join(graph.nodes.select(F.col("id").alias("dst"), "community"), "dst")
+    return near.where(~F.col("community").eqNullSafe(F.col("own"))).select("id", "score").distinct()
+
+
+def suggested_questions(graph: PropertyGraph, top_n: int = 7, with_bridges: bool = True) -> DataFrame:
+    """(kind, subject, place): ambiguous edges, bridge nodes, much-inferred hubs, isolated nodes and loose communities,
+    taken in turn; without bridge nodes, which need betweenness, if with_bridges is false."""
     ambiguous = graph.edges.where("confidence = 'AMBIGUOUS'").groupBy("src", "dst").agg(F.min("ord").alias("o")).select(F.lit(0).alias("turn"), F.lit("ambiguous").alias("kind"), F.concat_ws(" ", "src", "dst").alias("subject"), F.col("o").cast("double").alias("key"))
+    bridge = [bridge_nodes(graph).select(F.lit(1).alias("turn"), F.lit("bridge_node").alias("kind"), F.col("id").alias("subject"), (-F.col("score")).alias("key"))] if with_bridges else []
     hubs = god_nodes(graph, 5).select("id", "degree")
     inferred = graph.edges.where("confidence = 'INFERRED'").select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
-    verify = hubs.join(inferred, "id").where("n >= 2").select(F.lit(1).alias("turn"), F.lit("verify_inferred").alias("kind"), F.col("id").alias("subject"), (-F.col("degree")).cast("double").alias("key"))
-    lonely = graph.nodes.join(graph.degrees(), "id").where("degree <= 1").agg(F.count("*").alias("n")).where("n > 0").select(F.lit(2).alias("turn"), F.lit("isolated").alias("kind"), F.col("n").cast("string").alias("subject"), F.lit(0.0).alias("key"))
-    loose = cohesion(graph).where("cohesion < 0.15 and size >= 5").select(F.lit(3).alias("turn"), F.lit("low_cohesion").alias("kind"), F.col("community").cast("string").alias("subject"), F.col("community").cast("double").alias("key"))
+    verify = hubs.join(inferred, "id").where("n >= 2").select(F.lit(2).alias("turn"), F.lit("verify_inferred").alias("kind"), F.col("id").alias("subject"), (-F.col("degree")).cast("double").alias("key"))
+    lonely = graph.nodes.join(graph.degrees(), "id").where("degree <= 1").agg(F.count("*").alias("n")).where("n > 0").select(F.lit(3).alias("turn"), F.lit("isolated").alias("kind"), F.col("n").cast("string").alias("subject"), F.lit(0.0).alias("key"))
+    loose = cohesion(graph).where("cohesion < 0.15 and size >= 5").select(F.lit(4).alias("turn"), F.lit("low_cohesion").alias("kind"), F.col("community").cast("string").alias("subject"), F.col("community").cast("double").alias("key"))
     firsts = None
-    for part in (ambiguous, verify, lonely, loose):  # no type can fill more than top_n places
+    for part in (ambiguous, *bridge, verify, lonely, loose):  # no type can fill more than top_n places
         part = part.orderBy("key", "subject").limit(top_n)
         firsts = part if firsts is None else firsts.union(part)
     numbered = firsts.withColumn("n", F.row_number().over(Window.partitionBy("kind").orderBy("key", "subject")))

@@ -188,6 +188,12 @@ SELECT kind, subject, row_number() OVER (ORDER BY n, turn)::INT AS place FROM nu
     star=True,
 )
 def suggested_questions(spark, sf):
+    """Without bridge nodes, as its SQL; suggested_questions_with_bridges has all five kinds."""
+    return analytics.suggested_questions(star_graph(spark, sf), with_bridges=False)
+
+
+@query()
+def suggested_questions_with_bridges(spark, sf):
     return analytics.suggested_questions(star_graph(spark, sf))
 
 
