@@ -1,6 +1,7 @@
 import math
 import os
 import re
+import textwrap
 from collections import Counter
 
 import duckdb
@@ -71,6 +72,27 @@ def test_every_template_matches_itself(spark):
         assert re.search(licenses.CUE, text) and got[f"d/{k}"].licence == name
 
 
+MIT = """MIT License
+
+Copyright (c) 2021 Some Body and Others
+
+""" + textwrap.fill(licenses.FILE_TEMPLATES[0][1].removeprefix("MIT License. "), 72)
+BSD_2 = "Copyright (c) 2019, Some Body\nAll rights reserved.\n\n" + textwrap.fill(licenses._BSD[0], 76) + "\n\n" + textwrap.fill(licenses._BSD[2], 76)
+BSD_3 = "Copyright (c) 2019, Some Body\nAll rights reserved.\n\n" + "\n\n".join(textwrap.fill(x, 76) for x in licenses._BSD)
+LICENCES = "/usr/share/common-licenses"
+
+
+def test_full_texts_of_licence_files(spark):
+    texts = {"MIT": MIT, "BSD-2-Clause": BSD_2, "BSD-3-Clause": BSD_3}
+    for name, file in {"Apache-2.0": "Apache-2.0", "GPL-3.0": "GPL-3", "GPL-2.0": "GPL-2", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0"}.items():
+        if os.path.exists(f"{LICENCES}/{file}"):
+            texts[name] = open(f"{LICENCES}/{file}").read()
+    rows = [row for name, text in texts.items() for row in ((f"{name}/LICENSE", text, True), (f"{name}/src/x.py", "x = 1", False))]
+    rows.append(("none/LICENSE", "You have permission to read this licence of our own making, and nothing else follows from it.", True))
+    got = {r.path: r.licence for r in licenses.inherit(licenses.scan(frame(spark, rows))).collect()}
+    assert got == {p: None if p.startswith("none") else p.split("/")[0] for p, _, _ in rows}
+
+
 def test_plan_has_no_python(spark):
     docs = spark.createDataFrame([(1, "Released under the MIT License.", "en", "s")], "doc_id long, text string, lang string, source string")
     plan = licenses.scan(docs.withColumn("path", F.lit("a/b")))._jdf.queryExecution().executedPlan().toString()

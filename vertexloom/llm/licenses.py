@@ -1,7 +1,8 @@
 """License scans by sparse TF-IDF cosine to templates, and inheritance from the nearest ancestor directory.
 
 Built-in functions only. A file's statements are its lines and sentences that hold a licence cue; a licence file, told by
-its name, is one statement as a whole. Components are the square root of a term's count times its inverse document
+its name, is one statement as a whole, and as a whole and by paragraphs it is also compared with licences in full and the
+titles of long ones, all terms of equal weight. Components are the square root of a term's count times its inverse document
 frequency over all files. Terms outside the templates' vocabulary only lengthen a statement's vector, each weighted as a
 term of no other file. The scan is a projection of each row, so rows need no identity and nothing is shuffled.
 
@@ -48,14 +49,45 @@ TEMPLATES: list[tuple[str, str]] = [
     ("ISC", "Permission to use, copy, modify, and or distribute this software for any purpose with or without fee is hereby granted"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 ]
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. ",
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. ",
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+)
+#: For licence files: short licences in full, and the titles that long ones open with.
+FILE_TEMPLATES: list[tuple[str, str]] = [
+    ("MIT", "MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, "
+     "and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+     "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+     "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("BSD-3-Clause", "".join(_BSD)),
+    ("BSD-2-Clause", _BSD[0] + _BSD[2]),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+     "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+     "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+]
 CUE = r"(?i)licen[cs]e|copyright|spdx|redistribut|permission|public domain"
 SEPARATOR = r"\n|[.;]\s+"
 TERM = "[a-z0-9]+"
+PARAGRAPH = r"\n\s*\n"
 LICENCE_FILE = r"(?i)^(un)?(licen[cs]e|copying|notice)([-_.].*)?$"
 THRESHOLD = 0.7
 
 VECTORS = [Counter(re.findall(TERM, text.lower())) for _, text in TEMPLATES]
 VOCABULARY = sorted(set().union(*VECTORS))
+FILE_VECTORS = [Counter(re.findall(TERM, text.lower())) for _, text in FILE_TEMPLATES]
 
 
 def terms(text: Column) -> Column:
@@ -71,10 +103,11 @@ def inverse_frequencies(files: DataFrame, text_col: str) -> tuple[dict[str, floa
     return {t: math.log((1 + n) / (1 + counts.get(t, 0))) + 1 for t in VOCABULARY}, math.log(1 + n) + 1
 
 
-def best_match(statements: Column, idf: dict[str, float], unseen: float) -> Column:
+def best_match(statements: Column, idf: dict[str, float], unseen: float, vectors: list[Counter] = VECTORS) -> Column:
     """Struct (score, template, place) of an array of statements' best match; null for none. Ties: first template, then first place."""
-    squares = F.create_map(*[x for t in VOCABULARY for x in (F.lit(t), F.lit(idf[t] ** 2))])
-    vocabulary = F.array(*map(F.lit, VOCABULARY))
+    terms_of = sorted(set().union(*vectors))
+    squares = F.create_map(*[x for t in terms_of for x in (F.lit(t), F.lit(idf[t] ** 2))])
+    vocabulary = F.array(*map(F.lit, terms_of))
     split = F.transform(statements, terms)
     parts = F.transform(split, lambda t: F.struct(
         F.aggregate(t, F.lit(0.0), lambda a, x: a + F.coalesce(F.element_at(squares, x), F.lit(unseen**2))).alias("square"),
@@ -83,16 +116,16 @@ def best_match(statements: Column, idf: dict[str, float], unseen: float) -> Colu
     counted = F.transform(parts, lambda p: F.struct(
         p["square"].alias("square"), F.transform(vocabulary, lambda v: F.sqrt(F.size(F.filter(p["known"], lambda x: x == v)))).alias("roots"),
     ))
-    place = {t: i + 1 for i, t in enumerate(VOCABULARY)}
+    place = {t: i + 1 for i, t in enumerate(terms_of)}
 
     def against(c: Column, k: int) -> Column:
-        vector = VECTORS[k]
+        vector = vectors[k]
         norm = math.sqrt(sum(n * idf[t] ** 2 for t, n in vector.items()))
         dot = sum((F.element_at(c["roots"], place[t]) * F.lit(math.sqrt(n) * idf[t] ** 2 / norm) for t, n in sorted(vector.items())), F.lit(0.0))
         score = F.when(c["square"] > 0, F.round(dot / F.sqrt(c["square"]), 6)).otherwise(F.lit(0.0))
         return F.struct(score.alias("score"), F.lit(-k).alias("template"))
 
-    scored = F.transform(counted, lambda c, i: F.struct(F.array_max(F.array(*[against(c, k) for k in range(len(TEMPLATES))])).alias("best"), (-i).alias("place")))
+    scored = F.transform(counted, lambda c, i: F.struct(F.array_max(F.array(*[against(c, k) for k in range(len(vectors))])).alias("best"), (-i).alias("place")))
     return F.array_max(scored)
 
 
@@ -106,11 +139,19 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text") -> Da
     whole = F.coalesce(F.element_at(F.split(F.col(path_col), "/"), -1).rlike(LICENCE_FILE), F.lit(False))
     statements = F.when(whole, F.array(text)).otherwise(F.filter(F.split(text, SEPARATOR), lambda s: s.rlike(CUE)))
     found = F.when(text.rlike(CUE), best_match(statements, idf, unseen))
-    names = F.array(*[F.lit(name) for name, _ in TEMPLATES])
-    match = F.when(found["best"]["score"] >= THRESHOLD, F.struct(
-        found["best"]["score"].alias("score"), F.element_at(names, 1 - found["best"]["template"]).alias("licence"), (-found["place"]).alias("place"),
-    ))
-    return files.withColumn("licence_match", match)
+    in_full = F.concat(F.array(text), F.split(text, PARAGRAPH))
+    full = F.when(whole & text.rlike(CUE), best_match(in_full, dict.fromkeys(set().union(*FILE_VECTORS), 1.0), 1.0, FILE_VECTORS))
+
+    def named(m: Column, templates: list[tuple[str, str]]) -> Column:
+        names = F.array(*[F.lit(name) for name, _ in templates])
+        return F.when(m["best"]["score"] >= THRESHOLD, F.struct(
+            m["best"]["score"].alias("score"), F.element_at(names, 1 - m["best"]["template"]).alias("licence"), (-m["place"]).alias("place"),
+        ))
+
+    rows = files.withColumns({"__found": found, "__full": full})
+    better = F.coalesce(F.col("__full.best.score") > F.col("__found.best.score"), F.lit(False))
+    match = F.when(better, named(F.col("__full"), FILE_TEMPLATES)).otherwise(named(F.col("__found"), TEMPLATES))
+    return rows.withColumn("licence_match", match).drop("__found", "__full")
 
 
 def directory_of(path: Column) -> Column:
