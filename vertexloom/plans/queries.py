@@ -544,10 +544,17 @@ def normalized_ids(spark, sf):
 
 @query("SELECT doc_id, lower(strip_accents(left(text, 200))) AS folded, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))::BIGINT AS n_tokens FROM documents")
 def folded_text(spark, sf):
+    """Folds 200 characters, as its SQL; folded_documents folds whole texts."""
     docs = read(spark, sf, "documents")
     return docs.select("doc_id", text.norm_label(F.substring("text", 1, 200)).alias("folded"), F.size(text.search_tokens(F.col("text"))).cast("long").alias("n_tokens"))
 
 
+@query("SELECT doc_id, sha256(lower(strip_accents(text))) AS folded_sha256, length(lower(strip_accents(text)))::BIGINT AS folded_length FROM documents")
+def folded_documents(spark, sf):
+    folded = text.norm_label(F.col("text"))
+    return read(spark, sf, "documents").select("doc_id", F.sha2(folded, 256).alias("folded_sha256"), F.length(folded).cast("long").alias("folded_length"))
+
+
 @query(
     """WITH c AS (SELECT p_partkey, unnest(string_split(trim(regexp_replace(lower(p_name), '[^\\p{L}\\p{N}]+', ' ', 'g')), '')) AS ch FROM part),
 k AS (SELECT p_partkey, ch, count(*) AS n FROM c WHERE ch <> '' GROUP BY 1, 2),
