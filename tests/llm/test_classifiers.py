@@ -134,3 +134,9 @@ def test_accuracy_on_tables(spark):
     for operator, label in ((toxicity, "toxic"), (quality, "quality")):
         rows = operator.score(docs, labels).where("held_out").join(labels, "doc_id").select("predicted", label).collect()
         assert np.mean([r[0] == r[1] for r in rows]) >= 0.93
+
+
+def test_shape_reads_whole_words():
+    assert quality.shape("a" * 64 + "!" * 40 + "7") == "a!!0"
+    one, other = quality.Words()(["x" * 64 + "#7"]), quality.Words()(["x" * 64 + "Q"])
+    assert (one != other).any() and quality.shape("x" * 64 + "#7") != quality.shape("x" * 64 + "Q")

@@ -45,7 +45,7 @@ CHUNK = 1 << 18
 
 def shape(word: str) -> str:
     """Runs of upper case, lower case and digits as A, a and 0; a run of one mark as the mark, doubled if it is longer."""
-    bare = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64])
+    bare = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
     return re.sub(r"(.)\1+", lambda m: m[1] if m[1] in "Aa0" else m[1] * 2, bare)
 
 
