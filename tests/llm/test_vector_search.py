@@ -30,8 +30,6 @@ def brute(rows, d, k, step, scaled):
     if not scaled:
         ok = [(i, v) for i, v in ok if any(v)]
     vectors = [(i, np.array([math.floor(c * 1024) for c in v], np.int64) if scaled else np.array(v, float)) for i, v in ok]
-    if not scaled:  # a repeated row counts once
-        vectors = [(i, v) for n, (i, v) in enumerate(vectors) if not any(i == j and (v == w).all() for j, w in vectors[:n])]
     out = {}
     for q in sorted({i for i, _ in vectors if i % step == 0}):
         asks = min((v.tolist() for i, v in vectors if i == q))
@@ -100,13 +98,57 @@ def test_tree_prunes():
 
     tree.x = original.view(Counting)
     for i in range(0, 4000, 400):
-        rows, scores = tree.nearest(original[i], np.array([i]), -np.inf, 10, ids)
+        _, rows, scores = tree.search(ids, np.array([i]), original[[i]], np.array([-np.inf]), 10)
         full = original @ original[i]
         full[i] = -np.inf
         assert sorted(scores.tolist()) == np.sort(full)[-10:].tolist()
     assert computed < 0.5 * 10 * 4000
 
 
+def test_tree_blocks_of_queries_match_single_ones():
+    rng = np.random.default_rng(6)
+    x = np.floor(rng.normal(size=(3000, 8)) * 500)
+    x[1000:1400] = x[5]
+    ids = rng.permutation(3000)
+    tree = mtree.Tree(x, 16)
+    q = x[::50]
+    query, rows, scores = tree.search(ids, ids[::50], q, np.full(len(q), -np.inf), 10)
+    for i in range(len(q)):
+        full = sorted(((-int(s), int(v)) for s, v in zip(x @ q[i], ids) if v != ids[50 * i]))[:10]
+        assert [(-int(s), int(v)) for s, v in zip(scores[query == i], ids[rows[query == i]])] == full
+
+
+def test_scores_beyond_doubles_are_exact(spark):
+    rng = np.random.default_rng(9)
+    big = [[float(np.float32(v)) for v in rng.normal(size=4) * size] for size in (1e5, 2e5, 3e5) for _ in range(40)]
+    rows = [(i, v) for i, v in enumerate(big)] + [(500, [1.0, 2.0, 3.0, 4.0]), (600, [1e5, 2e5, 0.0, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    whole = {i: [math.floor(1024 * c) for c in v] for i, v in rows}
+    got = {}
+    for r in mtree.exact_top_k(df, F.col("id") % 20 == 0, 10).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.score, r.vec_id))
+    assert set(got) == {i for i in whole if i % 20 == 0}
+    for q, found in got.items():
+        expected = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:10]
+        assert [(-s, i) for _, s, i in sorted(found)] == expected
+    huge = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit"):
+        mtree.exact_top_k(huge, F.col("id") == 0).collect()
+
+
+def test_a_hot_repeated_row_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(vector_search, "CELL_ROWS", 200)
+    rng = np.random.default_rng(4)
+    rows = [(1, [1.0, 0.0, 0.0])] * 700 + [(i, [float(c) for c in rng.normal(size=3)]) for i in range(20, 320)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for operator, scaled in ((mtree.exact_top_k, True), (one_bit_codes.approximate_top_k, False)):
+        found = operator(df, F.col("id") % 20 == 0, 5, shard_rows=100, sample_rows=60).collect()
+        expected = brute(rows, 3, 5, 20, scaled)
+        assert len(found) == sum(map(len, expected.values()))
+        exact = sum((float(r.score), r.vec_id) in [(s, i) for s, i in expected[r.query_id]] or any(abs(r.score - s) < 1e-9 for s, _ in expected[r.query_id]) for r in found)
+        assert exact >= (1 if scaled else 0.9) * len(found)
+
+
 def test_estimates_are_within_their_errors():
     rng = np.random.default_rng(8)
     x, q, centre = rng.normal(size=(2000, 64)), rng.normal(size=(30, 64)), rng.normal(size=64) * 0.1

@@ -5,15 +5,15 @@ largest length in a tree, x' = (x, sqrt(M^2 - |x|^2)) and q' = (q, 0), the dista
 sqrt(|q|^2 + M^2 - 2 q.x), which falls as the score rises.
 
 Each shard of the vector search builds one tree of paged nodes. A routing entry is a vector with the covering radius of
-its subtree, and every entry keeps its distance to the parent's vector. The query walks the pages in order of their lower
+its subtree, and every entry keeps its distance to the parent's vector. A query opens pages in order of their lower
 bound. In a page it first drops entries whose stored distances already prove, by the triangle inequality, that they are
-too far, and only then computes the distances that remain.
+too far, and only then computes the distances that remain. Queries walk in blocks: in each round every query opens its
+nearest unopened pages, twice as many as in the round before, and a page's distances are computed at once for all
+queries that open it. So a query opens at most about twice the pages that it would open one by one.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,9 +23,7 @@ from vertexloom.llm import vector_search
 SCALE = 1024
 K = 10
 PAGE = 128
-#: Scaled components beyond this can't give scores that fit a long; such vectors take no part.
-LARGEST = 1 << 27
-SLACK = 1e-7
+EXACT = float(1 << 53)
 
 
 class Tree:
@@ -72,63 +70,102 @@ class Tree:
                 radii.append(float(self.distances(own, int(pivots[k])).max()))
         return self._add(np.array(entries), parent, np.array(radii), np.array(children))
 
-    def nearest(self, q: np.ndarray, own: np.ndarray, floor: float, k: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and scores of the k best that reach `floor`, without the rows in `own`."""
-        base = float(q @ q) + self.square
-        slack = SLACK * (1 + np.sqrt(base))
-
-        def far(score: float) -> float:
-            return np.inf if score == -np.inf else np.sqrt(max(base - 2 * score, 0)) + slack
-
-        limit, best, rows = far(floor), np.zeros(0), np.zeros(0, np.int64)
-        heap: list[tuple[float, int, float]] = [(0.0, self.root, -1.0)]
-        while heap:
-            bound, page, above = heapq.heappop(heap)
-            if bound > limit:
-                break
-            entries, radii = self.entries[page], self.radii[page]
-            children = self.children[page]
-            if above >= 0:
-                near = np.abs(above - self.parents[page]) - radii <= limit
-                entries, radii, children = entries[near], radii[near], children[near]
-            if not len(entries):
-                continue
-            scores = self.x[entries] @ q
-            if children[0] < 0:
-                hit = (scores >= floor) & ~np.isin(entries, own)
-                if not hit.any():
-                    continue
-                best, rows = np.concatenate([best, scores[hit]]), np.concatenate([rows, entries[hit]])
-                if len(best) > k:
-                    order = np.lexsort((ids[rows], -best))[:k]
-                    best, rows = best[order], rows[order]
-                if len(best) == k:
-                    floor = max(floor, best.min())
-                    limit = far(floor)
-            else:
-                distance = np.sqrt(np.maximum(base - 2 * scores, 0))
-                lower = distance - radii
-                for i in np.flatnonzero(lower <= limit).tolist():
-                    heapq.heappush(heap, (float(lower[i]), int(children[i]), float(distance[i])))
-        return rows, best
-
-
-def whole_products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Inner products of whole numbers, exact: in doubles where no sum can pass 2^53, else in 64-bit integers."""
-    return np.einsum("ij,ij->i", x.astype(np.int64), q.astype(np.int64)).astype(np.float64)
-
-
-def kernel(ids: np.ndarray, x: np.ndarray, asking: np.ndarray, q: np.ndarray, floors: np.ndarray, k: int, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def search(self, ids: np.ndarray, asking: np.ndarray, q: np.ndarray, floors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query index, row, exact integer score) of the k best of each query that reach its floor, rows of its own id left out."""
+        error = vector_search.rounding(q.shape[1])
+        size = np.sqrt((q**2).sum(axis=1))
+        reach = size * np.sqrt(self.square)
+        off = np.where(reach < EXACT, 0.0, error * reach)  # what a score in doubles may be off by
+        base = size**2 + self.square
+        slack = 4 * np.sqrt(2 * error * base) + 1e-9
+        floor = floors.copy()
+        with np.errstate(invalid="ignore"):
+            far = lambda i: np.where(floor[i] == -np.inf, np.inf, np.sqrt(np.maximum(base[i] - 2 * (floor[i] - off[i]), 0)) + slack[i])
+        everyone = np.arange(len(q))
+        limit = far(everyone)
+        pages = len(self.entries)
+        bound, above = np.full((len(q), pages), np.inf), np.full((len(q), pages), -1.0)
+        bound[:, self.root] = 0
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        width = 1
+        while True:
+            bound[bound > limit[:, None]] = np.inf
+            live = np.flatnonzero(np.isfinite(bound).any(axis=1))
+            if not len(live):
+                return best
+            some = min(width, pages)
+            nearest = np.argpartition(bound[live], some - 1, axis=1)[:, :some]
+            query, page = np.repeat(live, some), nearest.ravel()
+            there = np.isfinite(bound[query, page])
+            query, page = query[there], page[there]
+            order = np.argsort(page, kind="stable")
+            query, page = query[order], page[order]
+            cuts = np.flatnonzero(np.diff(page)) + 1
+            hits = []
+            for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(page)]):
+                hits.append(self._open(int(page[low]), query[low:high], q, floor, off, base, limit, bound, above))
+            hits = [h for h in hits if h is not None]
+            if hits:
+                asks, rows, rough = (np.concatenate(c) for c in zip(*hits))
+                other = ids[rows] != asking[asks]
+                asks, rows, rough = asks[other], rows[other], rough[other]
+                scores = whole_products(self.x, q, rows, asks, rough, off)
+                again = np.isin(best[0], asks)
+                mine = vector_search.keep_best(*(np.concatenate([b[again], n]) for b, n in zip(best, (asks, rows, scores))), ids, k)
+                best = tuple(np.concatenate([b[~again], m]) for b, m in zip(best, mine))
+                last = np.flatnonzero(np.r_[mine[0][1:] != mine[0][:-1], True]) if len(mine[0]) else np.zeros(0, np.int64)
+                full = last[np.bincount(mine[0], minlength=len(q))[mine[0][last]] == k]
+                floor[mine[0][full]] = np.maximum(floor[mine[0][full]], mine[2][full].astype(float))
+                limit = far(everyone)
+            width *= 2
+
+    def _open(self, page, query, q, floor, off, base, limit, bound, above):
+        """Opens a page for the queries: candidates of a leaf, or None after its children got their bounds."""
+        entries, radii, children = self.entries[page], self.radii[page], self.children[page]
+        far = above[query, page]
+        bound[query, page] = np.inf
+        near = (far[:, None] < 0) | (np.abs(far[:, None] - self.parents[page]) - radii <= limit[query][:, None])
+        needed = np.flatnonzero(near.any(axis=0))
+        if not len(needed):
+            return None
+        scores = q[query] @ self.x[entries[needed]].T
+        near = near[:, needed]
+        if children[0] < 0:
+            at, entry = np.nonzero(near & (scores >= (floor - off)[query][:, None]))
+            return query[at], entries[needed[entry]], scores[at, entry]
+        distance = np.sqrt(np.maximum(base[query][:, None] - 2 * scores, 0))
+        lower = distance - radii[needed]
+        at, entry = np.nonzero(near & (lower <= limit[query][:, None]))
+        bound[query[at], children[needed[entry]]] = lower[at, entry]
+        above[query[at], children[needed[entry]]] = distance[at, entry]
+        return None
+
+
+def whole_products(x: np.ndarray, q: np.ndarray, rows: np.ndarray, asks: np.ndarray, rough: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Inner products of whole numbers as 64-bit integers, exact.
+
+    rough is the sum in doubles, which may be off by `off` of the query: by nothing where no sum can pass 2^53. Where it is
+    and the result surely fits, 64-bit arithmetic gives it (what wraps on the way wraps back); else integers of any size
+    do, and a result that 64 bits can't hold is an error.
+    """
+    out = np.zeros(len(rows), np.int64)
+    sure = off[asks] == 0
+    out[sure] = rough[sure].astype(np.int64)
+    for i in np.flatnonzero(~sure).tolist():
+        a, b = x[rows[i]], q[asks[i]]
+        if abs(rough[i]) + off[asks[i]] < 2.0**62 and max(np.abs(a).max(), np.abs(b).max()) < 2.0**62:
+            out[i] = (a.astype(np.int64) * b.astype(np.int64)).sum()
+            continue
+        score = sum(int(u) * int(v) for u, v in zip(a, b))
+        if not -(1 << 63) <= score < 1 << 63:
+            raise OverflowError("the inner product of two vectors does not fit a 64-bit integer")
+        out[i] = score
+    return out
+
+
+def index(ids: np.ndarray, x: np.ndarray, centre: np.ndarray, k: int, known: np.ndarray) -> vector_search.Answer:
     tree = Tree(x)
-    order = np.argsort(ids, kind="stable")
-    queries, rows, scores = [], [], []
-    for i, (name, vector, floor) in enumerate(zip(asking, q, floors)):
-        low, high = np.searchsorted(ids[order], [name, name + 1])
-        row, score = tree.nearest(vector, order[low:high], float(floor), k, ids)
-        queries.append(np.full(len(row), i))
-        rows.append(row)
-        scores.append(score)
-    return np.concatenate(queries), np.concatenate(rows), np.concatenate(scores)
+    return lambda asking, q, floors: tree.search(ids, asking, q, floors, k)
 
 
 def exact_top_k(table: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", **sizes: int) -> DataFrame:
@@ -136,17 +173,9 @@ def exact_top_k(table: DataFrame, is_query: Column, k: int = K, id_col: str = "v
 
     is_query is a condition on `id`. All candidates are returned where there are fewer than k; ties go to the smaller
     vec_id. No part is taken by rows whose id or vector is null, whose vector is empty, of another than the table's most
-    frequent length, holds a null or non-finite component or one that scales beyond LARGEST. A repeated id asks once;
-    its rows are never its own candidates, and each is one for other queries.
-
-    Scores are whole numbers held in doubles, exact up to 2^53: LARGEST and the length keep sums below it, or the vector
-    takes no part.
+    frequent length, or holds a null or non-finite component. A repeated id asks once; its rows are never its own
+    candidates, and each is one for other queries. Components may have any size; a score of a result, or of a row that a
+    shard would return, that a long can't hold is an error.
     """
-
-    def accept(vec: Column) -> Column:
-        # by Cauchy-Schwarz no product of two accepted vectors passes 2^53
-        return F.aggregate(vec, F.lit(0.0), lambda a, x: a + x * x) < float(1 << 53)
-
-    rows = vector_search.usable(table, id_col, vec_col, lambda x: F.floor(x * SCALE).cast("double"), lambda v: F.forall(v, lambda x: F.abs(x) <= LARGEST) & accept(v))
-    found = vector_search.search(rows, is_query, k, kernel, whole_products, **sizes)
-    return found.withColumn("score", F.col("score").cast("long"))
+    rows = vector_search.usable(table, id_col, vec_col, lambda x: F.floor(x * SCALE).cast("double"), lambda v: F.lit(True))
+    return vector_search.search(rows, is_query, k, index, "long", **sizes)

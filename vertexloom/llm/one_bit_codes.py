@@ -5,7 +5,7 @@ dimension, with two correction scalars: |x - c| and the inner product of o with
 q.x = q.c + |x - c| q.o, and q.o is estimated without bias as (code.q') / (code.o) over the rotated query q', with an
 error of about |q| sqrt((1 - (code.o)^2) / ((code.o)^2 (d - 1))). A row is reranked by the exact product only if its
 estimate plus EPSILON of those errors reaches the query's k-th best exact score so far, which starts at the k-th best of
-the search's bounded sample.
+the search's bounded sample. Rows of the sample are compared exactly in any case, so every query gets k rows, or all.
 """
 
 from __future__ import annotations
@@ -61,22 +61,22 @@ def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", x, q)
 
 
-def kernel(ids: np.ndarray, x: np.ndarray, asking: np.ndarray, q: np.ndarray, floors: np.ndarray, k: int, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    codes = Codes.of(x, centre)
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for begin in range(0, len(q), BLOCK):
-        mine = slice(begin, begin + BLOCK)
-        turned, size = q[mine] @ rotation(x.shape[1]).T, np.sqrt((q[mine] ** 2).sum(axis=1))
-        at_centre, floor = q[mine] @ centre, floors[mine].copy()
+def index(ids: np.ndarray, x: np.ndarray, centre: np.ndarray, k: int, known: np.ndarray) -> vector_search.Answer:
+    sure, coded = np.flatnonzero(known), np.flatnonzero(~known)
+    codes = Codes.of(x[coded], centre)
+    error = vector_search.rounding(x.shape[1])
+    sizes = np.sqrt((x[sure] ** 2).sum(axis=1))
+
+    def answer(asking: np.ndarray, q: np.ndarray, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        turned, size = q @ rotation(x.shape[1]).T, np.sqrt((q**2).sum(axis=1))
+        at_centre, floor = q @ centre, floors.copy()
         best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        for low in range(0, len(x), BLOCK):
-            rows = slice(low, low + BLOCK)
-            estimate, error = codes.estimate(rows, turned, at_centre, size)
-            query, row = np.nonzero(estimate + np.float32(EPSILON) * error + np.float32(1e-6) * (1 + np.abs(estimate)) >= floor[:, None])
-            row += low
-            other = ids[row] != asking[mine][query]
+
+        def rerank(query: np.ndarray, row: np.ndarray) -> None:
+            nonlocal best
+            other = ids[row] != asking[query]
             query, row = query[other], row[other]
-            parts = [products(x[row[i : i + (1 << 16)]], q[mine][query[i : i + (1 << 16)]]) for i in range(0, len(row), 1 << 16)]
+            parts = [products(x[row[i : i + (1 << 16)]], q[query[i : i + (1 << 16)]]) for i in range(0, len(row), 1 << 16)]
             score = np.concatenate(parts) if parts else np.zeros(0)
             good = score >= floor[query]
             best = vector_search.keep_best(np.concatenate([best[0], query[good]]), np.concatenate([best[1], row[good]]), np.concatenate([best[2], score[good]]), ids, k)
@@ -84,8 +84,19 @@ def kernel(ids: np.ndarray, x: np.ndarray, asking: np.ndarray, q: np.ndarray, fl
             last = np.flatnonzero(np.r_[best[0][1:] != best[0][:-1], True]) if len(best[0]) else np.zeros(0, np.int64)
             full = last[count[best[0][last]] == k]
             floor[best[0][full]] = np.maximum(floor[best[0][full]], best[2][full])
-        out.append((best[0] + begin, best[1], best[2]))
-    return tuple(np.concatenate(c) for c in zip(*out))
+
+        for low in range(0, len(sure), BLOCK):
+            rows = sure[low : low + BLOCK]
+            query, row = np.nonzero(q @ x[rows].T + error * size[:, None] * sizes[low : low + BLOCK] >= floor[:, None])
+            rerank(query, rows[row])
+        for low in range(0, len(coded), BLOCK):
+            rows = slice(low, low + BLOCK)
+            estimate, spread = codes.estimate(rows, turned, at_centre, size)
+            query, row = np.nonzero(estimate + np.float32(EPSILON) * spread + np.float32(1e-6) * (1 + np.abs(estimate)) >= floor[:, None])
+            rerank(query, coded[row + low])
+        return best
+
+    return answer
 
 
 def approximate_top_k(table: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", **sizes: int) -> DataFrame:
@@ -94,7 +105,7 @@ def approximate_top_k(table: DataFrame, is_query: Column, k: int = K, id_col: st
     is_query is a condition on `id`. Fewer candidates than k are all returned; ties go to the smaller vec_id. No part is
     taken by rows whose id or vector is null, or whose vector is empty, zero, of another than the table's most frequent
     length or holds a null or non-finite component. A repeated id asks once; its rows are never its own candidates, and
-    each is one for other queries; those that also repeat the vector count once.
+    each is one for other queries.
     """
     rows = vector_search.usable(table, id_col, vec_col, lambda x: x, lambda v: F.exists(v, lambda x: x != 0))
-    return vector_search.search(rows, is_query, k, kernel, products, with_sample=True, **sizes)
+    return vector_search.search(rows, is_query, k, index, **sizes)

@@ -1,10 +1,14 @@
 """Top-k search of a query set against all rows of a vector table, in blocks.
 
-Every row belongs to the cell of its nearest centre (centres come from a bounded sample), and a cell of many rows, such
-as one that a hot vector fills, is salted into shards of about SHARD_ROWS. A query starts from the k-th best score within
-the sample, which no true result can fall below, and goes only to cells that can hold something as good: for a centre c
-with covering radius R, q.x <= q.c + |q| R. Queries are spread over blocks of about QUERY_BLOCK, so that a task holds one
-shard and one block however many queries there are. A task's k best of each query are merged by a window over them.
+Every row belongs to the cell of its nearest centre (centres come from a bounded sample, their number grows with the
+rows), and a cell of many rows, such as one that a hot vector fills, is salted into shards of about SHARD_ROWS. A query
+starts from the k-th best score within the sample, which no true result can fall below, and goes only to cells that can
+hold something as good: for a centre c with covering radius R, q.x <= q.c + |q| R.
+
+A task sorts a shard's rows before the queries routed to it, holds the rows, builds its index over them once and lets the
+queries stream past, some thousands at a time. Only if there are more than QUERY_BLOCK queries are they spread over
+blocks that take copies of the rows, so rows are copied once for each quarter of a million queries. A task's k best of
+each query are merged by a window over them.
 
 Only the sample, the cells' sizes and radii, and counts reach the driver; all of them are bounded.
 """
@@ -13,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +28,15 @@ from vertexloom.llm._common import checkpoint
 
 SAMPLE_ROWS = 4096
 SHARD_ROWS = 1 << 15
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 1 << 18
+QUERY_CHUNK = 2048
 CELL_ROWS = 8192
-MOST_CELLS = 256
+MOST_CELLS = 512
 
-#: ids, vectors, query ids, queries, scores to reach, k, centre -> (query index, row index, score)
-Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
-#: vectors, queries (row by row) -> scores
-Measure = Callable[[np.ndarray, np.ndarray], np.ndarray]
+#: query ids, queries, scores to reach -> (query index, row index, score)
+Answer = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+#: ids, vectors, centre, k, whether each row's id is one of the sample's -> what answers the shard's queries
+Index = Callable[[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray], Answer]
 
 
 def usable(table: DataFrame, id_col: str, vec_col: str, component: Callable[[Column], Column], accept: Callable[[Column], Column]) -> DataFrame:
@@ -62,7 +68,6 @@ class Cells:
     centres: np.ndarray
     sample_ids: np.ndarray
     sample: np.ndarray
-    measure: Measure
     k: int
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,33 +75,23 @@ class Cells:
         cell = (x @ self.centres.T * 2 - (self.centres**2).sum(axis=1)).argmax(axis=1)
         return cell, np.sqrt(((x - self.centres[cell]) ** 2).sum(axis=1))
 
-    def _rough(self, ids: np.ndarray, queries: np.ndarray) -> np.ndarray:
-        rough = queries @ self.sample.T
-        rough[ids[:, None] == self.sample_ids[None]] = -np.inf
-        return rough
-
-    def best_of_sample(self, ids: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query index, sample index, score) of what the floors come from."""
-        found = []
-        for low in range(0, len(ids), 512):
-            rough = self._rough(ids[low : low + 512], queries[low : low + 512])
-            at = np.argpartition(rough, -min(self.k, rough.shape[1]), axis=1)[:, -min(self.k, rough.shape[1]) :]
-            query = np.repeat(np.arange(len(at)), at.shape[1])
-            real = np.isfinite(rough[query, at.ravel()])
-            found.append((query[real] + low, at.ravel()[real]))
-        query, row = (np.concatenate(c) for c in zip(*found))
-        return query, row, self.measure(self.sample[row], queries[query])
-
     def floors(self, ids: np.ndarray, queries: np.ndarray) -> np.ndarray:
-        """The k-th best score of each query within the sample, without its own row."""
+        """A score that the k-th best of the sample, without the query's own rows, reaches however sums are rounded."""
         out = np.full(len(ids), -np.inf)
+        sizes = np.sqrt((self.sample**2).sum(axis=1))
         for low in range(0, len(ids), 512):
             q = slice(low, low + 512)
-            rough = self._rough(ids[q], queries[q])
+            rough = queries[q] @ self.sample.T
+            rough -= rounding(self.sample.shape[1]) * np.sqrt((queries[q] ** 2).sum(axis=1))[:, None] * sizes
+            rough[ids[q][:, None] == self.sample_ids[None]] = -np.inf
             if rough.shape[1] >= self.k:
                 out[q] = np.partition(rough, rough.shape[1] - self.k, axis=1)[:, rough.shape[1] - self.k]
-        # a matrix product may round otherwise than the measure does
-        return out - 1e-9 * (1 + np.abs(np.where(np.isfinite(out), out, 0)))
+        return out
+
+
+def rounding(dimensions: int) -> float:
+    """Bound on the rounding of an inner product in doubles, as a share of the product of the lengths."""
+    return 4 * (dimensions + 2) * 2.0**-53
 
 
 def _centres(sample: np.ndarray, n: int) -> np.ndarray:
@@ -111,24 +106,20 @@ def _centres(sample: np.ndarray, n: int) -> np.ndarray:
     return centres
 
 
-def search(rows: DataFrame, is_query: Column, k: int, kernel: Kernel, measure: Measure, shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK, sample_rows: int = SAMPLE_ROWS, with_sample: bool = False) -> DataFrame:
-    """(query_id, rank, vec_id, score double): each query's k best rows with another id, ties to the smaller id.
+def search(rows: DataFrame, is_query: Column, k: int, index: Index, score_type: str = "double", shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(query_id, rank, vec_id, score): each query's k best rows with another id, ties to the smaller id.
 
     rows: (id, vec), as usable() gives them. A query is an id; of rows that repeat a query's id the least vector asks, and
-    every repeated row is a candidate for others. with_sample also merges each query's best of the sample, for kernels that
-    may miss some; rows that repeat an id and a score then count once.
+    every repeated row is a candidate of its own for others. An index is told which rows have ids of the sample, so that
+    one that may miss some can score those in any case: each query then gets k rows, or all.
     """
     spark = rows.sparkSession
-    schema = "query_id long, vec_id long, score double"
     sampled = rows.orderBy(F.xxhash64("id"), "id", "vec").limit(sample_rows).toArrow()
     if not sampled.num_rows:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], f"query_id long, rank int, vec_id long, score {score_type}")
     sample, names = to_matrix(sampled.column("vec")), sampled.column("id").to_numpy()
-    if with_sample:
-        first_of = np.unique(np.column_stack([names.astype(np.float64), sample]), axis=0, return_index=True)[1]
-        sample, names = sample[first_of], names[first_of]
     total = rows.count()
-    cells = Cells(_centres(sample, max(1, min(MOST_CELLS, total // CELL_ROWS))), names, sample, measure, k)
+    cells = Cells(_centres(sample, max(1, min(MOST_CELLS, len(sample) // 8, total // CELL_ROWS))), names, sample, k)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,48 +162,60 @@ def search(rows: DataFrame, is_query: Column, k: int, kernel: Kernel, measure: M
     routed = asked.mapInArrow(route, "shard int, id long, vec array<double>, floor double").select("shard", block, "id", "vec", "floor")
     starts = F.array(*[F.lit(int(x)) for x in first])
     spread = F.array(*[F.lit(max(1, int(x))) for x in salts])
-    shard = F.element_at(starts, F.col("cell") + 1) + F.pmod(F.xxhash64(F.lit(9), "id", "vec"), F.element_at(spread, F.col("cell") + 1).cast("long"))
+    shard = F.element_at(starts, F.col("cell") + 1) + F.pmod(F.xxhash64(F.lit(9), "id", "vec", F.monotonically_increasing_id()), F.element_at(spread, F.col("cell") + 1).cast("long"))
     stored = placed.select(shard.cast("int").alias("shard"), F.col("cell"), "id", "vec")
     if blocks > 1:
-        routed = checkpoint(routed)
+        routed, stored = checkpoint(routed), checkpoint(stored)
         needed = routed.select(F.col("shard").alias("to_shard"), F.col("block").alias("to_block")).distinct()
-        stored = stored.join(needed, stored["shard"] == needed["to_shard"]).select("shard", "cell", "id", "vec", F.col("to_block").alias("block"))
+        stored = stored.join(needed, stored["shard"] == needed["to_shard"]).select("shard", F.col("to_block").alias("block"), "cell", "id", "vec")
     else:
-        stored = stored.withColumn("block", F.lit(0))
-
-    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        if not left.num_rows or not right.num_rows:
-            return empty
-        ids, x = left.column("id").to_numpy(), to_matrix(left.column("vec"))
-        asking, q = right.column("id").to_numpy(), to_matrix(right.column("vec"))
-        centre = cells.centres[left.column("cell")[0].as_py()]
-        query, row, score = kernel(ids, x, asking, q, right.column("floor").to_numpy(), k, centre)
-        return pa.table({"query_id": asking[query], "vec_id": ids[row], "score": score})
-
-    found = stored.groupBy("shard", "block").cogroup(routed.groupBy("shard", "block")).applyInArrow(answer, schema)
-    if with_sample:
-
-        def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    ids = batch.column(0).to_numpy()
-                    query, row, score = cells.best_of_sample(ids, to_matrix(batch.column(1)))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(cells.sample_ids[row]), pa.array(score)], names=["query_id", "vec_id", "score"])
-
-        found = found.union(asked.mapInArrow(seeds, schema)).distinct()
+        stored = stored.select("shard", F.lit(0).alias("block"), "cell", "id", "vec")
+
+    mixed = stored.select("shard", "block", F.lit(False).alias("asks"), "cell", "id", "vec", F.lit(None).cast("double").alias("floor"))
+    mixed = mixed.union(routed.select("shard", "block", F.lit(True), F.lit(-1), "id", "vec", "floor"))
+    keys = ["shard", "block", "asks"]
+    found = mixed.repartition("shard", "block").sortWithinPartitions(*keys).mapInArrow(partial(_answer_shards, index=index, cells=cells), f"query_id long, vec_id long, score {score_type}")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _answer_shards(batches: Iterator[pa.RecordBatch], index: Index, cells: Cells) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, block, asks, cell, id, vec, floor) sorted by the first three: a shard's rows, then its queries."""
+    held: list[pa.RecordBatch] = []
+    key, answer, ids = None, None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        shard, block, asks = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(3))
+        cuts = np.flatnonzero((np.diff(shard) != 0) | (np.diff(block) != 0) | (np.diff(asks) != 0)) + 1
+        for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            if key != (here := (int(shard[low]), int(block[low]))):
+                key, held, answer = here, [], None
+            part = batch.slice(low, high - low)
+            if not asks[low]:
+                held.append(part)
+                continue
+            if answer is None and held:
+                table = pa.Table.from_batches(held)
+                held = []
+                ids, x = table.column("id").to_numpy(), to_matrix(table.column("vec"))
+                answer = index(ids, x, cells.centres[table.column("cell")[0].as_py()], cells.k, np.isin(ids, cells.sample_ids))
+            if answer is None:
+                continue
+            for begin in range(0, part.num_rows, QUERY_CHUNK):
+                some = part.slice(begin, QUERY_CHUNK)
+                asking = some.column(4).to_numpy()
+                query, row, score = answer(asking, to_matrix(some.column(5)), some.column(6).to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([pa.array(asking[query]), pa.array(ids[row]), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+
 def keep_best(query: np.ndarray, row: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of each query, ties to the smaller id; what repeats an id and a score counts once."""
+    """The k best of each query, ties to the smaller id."""
     order = np.lexsort((ids[row], -score, query))
     query, row, score = query[order], row[order], score[order]
-    if len(query):
-        new = np.r_[True, (query[1:] != query[:-1]) | (score[1:] != score[:-1]) | (ids[row[1:]] != ids[row[:-1]])]
-        query, row, score = query[new], row[new], score[new]
-    start = np.r_[True, query[1:] != query[:-1]] if len(query) else np.zeros(0, bool)
-    place = np.arange(len(query)) - np.maximum.accumulate(np.where(start, np.arange(len(query)), 0)) if len(query) else np.zeros(0, int)
-    top = place < k
+    if not len(query):
+        return query, row, score
+    at = np.arange(len(query))
+    start = np.r_[True, query[1:] != query[:-1]]
+    top = at - np.maximum.accumulate(np.where(start, at, 0)) < k
     return query[top], row[top], score[top]
