@@ -153,6 +153,8 @@ def test_estimates_are_within_their_errors():
     rng = np.random.default_rng(8)
     x, q, centre = rng.normal(size=(2000, 64)), rng.normal(size=(30, 64)), rng.normal(size=64) * 0.1
     codes = one_bit_codes.Codes.of(x, centre)
-    estimate, error = codes.estimate(slice(None), q @ one_bit_codes.rotation(64).T, q @ centre, np.sqrt((q**2).sum(axis=1)))
+    asked = one_bit_codes.query_rows(q, centre)
+    estimate = asked @ codes.columns(slice(None), 64, 0.0).T
+    error = asked @ codes.columns(slice(None), 64, 1.0).T - estimate
     off = (estimate - q @ x.T) / error
     assert abs(off.mean()) < 0.05 and (np.abs(off) < one_bit_codes.EPSILON).mean() > 0.9

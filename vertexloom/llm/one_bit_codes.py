@@ -22,6 +22,7 @@ from vertexloom.llm import vector_search
 K = 20
 EPSILON = 1.9
 BLOCK = 2048
+STEP = 1 << 14
 
 
 @lru_cache(maxsize=4)
@@ -45,16 +46,18 @@ class Codes:
         product = np.divide(np.abs(turned).sum(axis=1) / np.sqrt(x.shape[1]), length, out=np.ones(len(x)), where=length > 0)
         return cls(np.packbits(positive, axis=1), length, product)
 
-    def estimate(self, rows: slice, turned: np.ndarray, at_centre: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Estimated products of a block of rows with every query, and one standard error."""
-        d = turned.shape[1]
-        signs = np.unpackbits(self.packed[rows], axis=1, count=d).astype(np.float32) * np.float32(2 / np.sqrt(d)) - np.float32(1 / np.sqrt(d))
-        scale = (self.length[rows] / self.product[rows]).astype(np.float32)
-        estimate = turned.astype(np.float32) @ signs.T
-        estimate *= scale
-        estimate += at_centre[:, None].astype(np.float32)
-        spread = self.length[rows] * np.sqrt(np.maximum(1 - self.product[rows] ** 2, 0)) / self.product[rows] / np.sqrt(max(d - 1, 1))
-        return estimate, (size[:, None] * spread).astype(np.float32)
+    def columns(self, rows: slice, dimensions: int, epsilon: float) -> np.ndarray:
+        """For a block of rows, what a query (rotated, its product with the centre, its length) multiplies: a product of the
+        two is the estimated inner product plus epsilon standard errors."""
+        signs = np.unpackbits(self.packed[rows], axis=1, count=dimensions).astype(np.float32) * 2 - 1
+        length, product = self.length[rows], self.product[rows]
+        spread = length * np.sqrt(np.maximum(1 - product**2, 0)) / product / np.sqrt(max(dimensions - 1, 1))
+        signs *= (length / product / np.sqrt(dimensions)).astype(np.float32)[:, None]
+        return np.column_stack([signs, np.ones(len(signs), np.float32), (epsilon * spread).astype(np.float32)])
+
+
+def query_rows(q: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    return np.column_stack([q @ rotation(q.shape[1]).T, q @ centre, np.sqrt((q**2).sum(axis=1))]).astype(np.float32)
 
 
 def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -66,24 +69,38 @@ def index(ids: np.ndarray, x: np.ndarray, centre: np.ndarray, k: int, known: np.
     codes = Codes.of(x[coded], centre)
     error = vector_search.rounding(x.shape[1])
     sizes = np.sqrt((x[sure] ** 2).sum(axis=1))
+    with np.errstate(over="ignore"):
+        short = x.astype(np.float32)
+    longest = np.sqrt((x**2).sum(axis=1).max()) + 2 * np.sqrt((centre**2).sum())
 
+    @np.errstate(over="ignore", invalid="ignore")
     def answer(asking: np.ndarray, q: np.ndarray, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        turned, size = q @ rotation(x.shape[1]).T, np.sqrt((q**2).sum(axis=1))
-        at_centre, floor = q @ centre, floors.copy()
+        size, asked, asked32, floor = np.sqrt((q**2).sum(axis=1)), query_rows(q, centre), q.astype(np.float32), floors.copy()
+        rounded = 1e-5 * size * longest  # of 32-bit sums
         best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
         def rerank(query: np.ndarray, row: np.ndarray) -> None:
             nonlocal best
+            low = (floor - rounded).astype(np.float32)
             other = ids[row] != asking[query]
             query, row = query[other], row[other]
-            parts = [products(x[row[i : i + (1 << 16)]], q[query[i : i + (1 << 16)]]) for i in range(0, len(row), 1 << 16)]
-            score = np.concatenate(parts) if parts else np.zeros(0)
-            good = score >= floor[query]
-            best = vector_search.keep_best(np.concatenate([best[0], query[good]]), np.concatenate([best[1], row[good]]), np.concatenate([best[2], score[good]]), ids, k)
-            count = np.bincount(best[0], minlength=len(floor))
-            last = np.flatnonzero(np.r_[best[0][1:] != best[0][:-1], True]) if len(best[0]) else np.zeros(0, np.int64)
-            full = last[count[best[0][last]] == k]
-            floor[best[0][full]] = np.maximum(floor[best[0][full]], best[2][full])
+            kept = []
+            for i in range(0, len(row), STEP):
+                one, other = query[i : i + STEP], row[i : i + STEP]
+                near = ~(products(short[other], asked32[one]) < low[one])  # most fall short already in 32 bits
+                one, other = one[near], other[near]
+                score = products(x[other], q[one])
+                good = score >= floor[one]
+                kept.append((one[good], other[good], score[good]))
+            query, row, score = (np.concatenate(c) for c in zip(*kept)) if kept else (query, row, np.zeros(0))
+            hit = np.zeros(len(floor), bool)
+            hit[query] = True
+            again = hit[best[0]]
+            mine = vector_search.keep_best(*(np.concatenate([b[again], n]) for b, n in zip(best, (query, row, score))), ids, k)
+            best = tuple(np.concatenate([b[~again], m]) for b, m in zip(best, mine))
+            last = np.flatnonzero(np.r_[mine[0][1:] != mine[0][:-1], True]) if len(mine[0]) else np.zeros(0, np.int64)
+            full = last[np.bincount(mine[0], minlength=len(floor))[mine[0][last]] == k]
+            floor[mine[0][full]] = np.maximum(floor[mine[0][full]], mine[2][full])
 
         for low in range(0, len(sure), BLOCK):
             rows = sure[low : low + BLOCK]
@@ -91,8 +108,8 @@ def index(ids: np.ndarray, x: np.ndarray, centre: np.ndarray, k: int, known: np.
             rerank(query, rows[row])
         for low in range(0, len(coded), BLOCK):
             rows = slice(low, low + BLOCK)
-            estimate, spread = codes.estimate(rows, turned, at_centre, size)
-            query, row = np.nonzero(estimate + np.float32(EPSILON) * spread + np.float32(1e-6) * (1 + np.abs(estimate)) >= floor[:, None])
+            reach = asked @ codes.columns(rows, x.shape[1], EPSILON).T
+            query, row = np.nonzero(~(reach < (floor - rounded).astype(np.float32)[:, None]))
             rerank(query, coded[row + low])
         return best
 
