@@ -174,7 +174,9 @@ def search(rows: DataFrame, is_query: Column, k: int, index: Index, score_type:
     mixed = stored.select("shard", "block", F.lit(False).alias("asks"), "cell", "id", "vec", F.lit(None).cast("double").alias("floor"))
     mixed = mixed.union(routed.select("shard", "block", F.lit(True), F.lit(-1), "id", "vec", "floor"))
     keys = ["shard", "block", "asks"]
-    found = mixed.repartition("shard", "block").sortWithinPartitions(*keys).mapInArrow(partial(_answer_shards, index=index, cells=cells), f"query_id long, vec_id long, score {score_type}")
+    # work grows with rows times queries and not with bytes, which is what partitions would be coalesced by
+    parts = max(min(int(salts.sum()) * blocks, 4 * spark.sparkContext.defaultParallelism), total * blocks * sample.shape[1] * 8 >> 27, 1)
+    found = mixed.repartition(parts, "shard", "block").sortWithinPartitions(*keys).mapInArrow(partial(_answer_shards, index=index, cells=cells), f"query_id long, vec_id long, score {score_type}")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
