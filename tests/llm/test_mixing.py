@@ -78,6 +78,36 @@ def test_apply_repeats_rows(spark, rows):
             assert counts.get(r.doc_id, 0) * r.size == r.taken
 
 
+def test_repeated_rows_meet_the_target(spark):
+    """A source of one row 3,000 times over, and one of rows that share an id."""
+    rows = [(1, "one row", "a")] * 3000 + [(2, "w " * (1 + i % 9), "b") for i in range(500)] + [(i, "other words here", "c") for i in range(10, 700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    decided = mixing.Mix().decide(docs).collect()
+    assert len(decided) == len(rows)
+    targets, _ = reference(rows)
+    mixed = mixing.Mix().apply(docs).collect()
+    for source, longest in (("a", 2), ("b", 9), ("c", 3)):
+        own = [r for r in decided if {1: "a", 2: "b"}.get(r.doc_id, "c") == source]
+        assert abs(sum(r.taken for r in own) - targets[source]) <= longest
+        assert sum(len(r.text.split()) for r in mixed if r.source == source) == sum(r.taken for r in own)
+        assert all(r.taken <= 2 * r.size for r in own)
+
+
+def test_no_row_is_taken_beyond_the_epochs(spark):
+    rows = [(i, "" if i % 20 == 0 else "a few words", "capped" if i < 60 else "rest") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    counts = {r.doc_id: r["count"] for r in mixing.Mix().apply(docs).groupBy("doc_id").count().collect()}
+    assert max(counts.values()) == 2 and all(counts[i] == 2 for i in range(60))
+
+
+def test_clashing_columns_are_carried(spark):
+    rows = [(i, f"some text {i}", "s", 7, 8.0, "k", -1) for i in range(50)] + [(3, "some text 3", "s", 7, 8.0, "k", -1)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, target double, order_key string, times int")
+    mixed = mixing.Mix().apply(docs)
+    assert mixed.columns == docs.columns and {tuple(r)[3:] for r in mixed.collect()} == {(7, 8.0, "k", -1)}
+    assert mixing.Mix().decide(docs).columns == ["doc_id", "size", "source_size", "target", "taken"]
+
+
 def test_small_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.Mix().decide(empty).count() == 0

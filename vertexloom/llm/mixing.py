@@ -4,7 +4,10 @@ Every source gets a share of a word budget in proportion to its weight, but no m
 what is cut off goes to the other sources by weight, again and again until no target exceeds its cap. A source is then
 taken as many whole times as fit into its target, and the rest comes from a seeded part of its documents: they are
 ordered by a seeded digest, and each whose middle lies within the rest, counted in words along that order, is taken
-once more. So a source misses its target by half a document at most, and any rerun takes the same documents.
+once more. So a source misses its target by half a document at most, and any rerun takes the same documents. Rows that
+share an id follow one another by their texts' digests; among rows that share both, those are taken that come first in
+the table, told apart by their place within a partition and the counts of the partitions before, so that not even a row
+repeated by the million goes through one task.
 
 Only numbers that don't grow with the data reach the driver: the budget's level of each round, and the count of
 sources in each range partition. Words along the order come from a histogram over (source, first digits of the
@@ -25,6 +28,8 @@ BUDGET = 1.5
 MAX_EPOCHS = 2
 SEED = 7
 BUCKET_DIGITS = 3
+#: Sources that may be broadcast, some 150 bytes each.
+BROADCAST_SOURCES = 50_000
 _SOURCE = ["source_null", "source_key"]
 
 
@@ -38,6 +43,11 @@ def order_key(doc_id: Column, text: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(text, F.lit("")))))))
 
 
+def place_key(doc_id: Column, text: Column, seed: int) -> Column:
+    """order_key and the text's digest, by which rows that share an id follow one another."""
+    return F.concat(order_key(doc_id, text, seed), F.md5(F.coalesce(text, F.lit(""))))
+
+
 def with_source(docs: DataFrame, source_col: str) -> DataFrame:
     return docs.withColumns({"source_null": F.col(source_col).isNull(), "source_key": F.coalesce(F.col(source_col).cast("string"), F.lit(""))})
 
@@ -73,7 +83,8 @@ def fill(sources: DataFrame, budget: float, max_epochs: float) -> DataFrame:
 
 
 def plan(sized: DataFrame, weights: tuple[float, ...], budget: float, max_epochs: float) -> DataFrame:
-    """(source_null, source_key, source_size, target, whole, cut): of each source all documents `whole` times and those with key <= cut once more."""
+    """(source_null, source_key, source_size, target, whole, cut, cut_rows, cut_taken): of each source all documents `whole`
+    times, those with key < cut once more, and of the cut_rows rows with that key the first cut_taken."""
     sources = checkpoint(fill(ranked_sources(sized, weights), budget, max_epochs))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     sources = sources.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
@@ -81,16 +92,36 @@ def plan(sized: DataFrame, weights: tuple[float, ...], budget: float, max_epochs
     histogram = sized.groupBy(*_SOURCE, bucket.alias("bucket")).agg(F.sum("size").alias("words"))
     along = Window.partitionBy(*_SOURCE).orderBy("bucket")
     ends = histogram.withColumn("before", F.sum("words").over(along) - F.col("words")).join(sources.select(*_SOURCE, "rest"), _SOURCE)
-    ends = ends.where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words"))).select(*_SOURCE, "bucket", "before", "rest")
-    last = sized.withColumn("bucket", bucket).join(ends, [*_SOURCE, "bucket"]).groupBy(*_SOURCE, "bucket", "before", "rest", "order_key").agg(F.sum("size").alias("words"))
+    # without a rest nothing is taken once more, not even what has no words
+    ends = ends.where((F.col("rest") > 0) & (F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words"))).select(*_SOURCE, "bucket", "before", "rest")
+    last = sized.withColumn("bucket", bucket).join(ends, [*_SOURCE, "bucket"]).groupBy(*_SOURCE, "bucket", "before", "rest", "order_key").agg(F.count("*").alias("rows"), F.sum("size").alias("words"))
     along = Window.partitionBy(*_SOURCE, "bucket").orderBy("order_key")
-    last = last.withColumn("middle", F.col("before") + F.sum("words").over(along) - F.col("words") / 2)
-    cuts = last.groupBy(*_SOURCE).agg(F.coalesce(F.max(F.when(F.col("middle") <= F.col("rest"), F.col("order_key"))), F.max("bucket")).alias("cut"))
-    return checkpoint(sources.join(cuts, _SOURCE, "left").select(*_SOURCE, "source_size", "target", "whole", F.coalesce("cut", F.lit("")).alias("cut")))
-
-
-def repetitions() -> Column:
-    return F.col("whole") + (F.col("order_key") <= F.col("cut")).cast("long")
+    each = F.col("words") / F.col("rows")
+    last = last.withColumn("before", F.col("before") + F.sum("words").over(along) - F.col("words"))
+    # of rows of one key, and so of one size, the first whose middles lie within the rest
+    last = last.withColumn("taken", F.when(F.col("words") > 0, F.floor((F.col("rest") - F.col("before")) / each + 0.5)).otherwise(F.when(F.col("before") <= F.col("rest"), F.col("rows")).otherwise(0)).cast("long"))
+    last = last.withColumn("taken", F.least("rows", F.greatest("taken", F.lit(0).cast("long"))))
+    top = F.max(F.when(F.col("taken") > 0, F.struct("order_key", "rows", "taken"))).alias("top")
+    cuts = last.groupBy(*_SOURCE).agg(top, F.max("bucket").alias("bucket"))
+    cuts = cuts.select(*_SOURCE, F.coalesce("top.order_key", "bucket").alias("cut"), F.coalesce("top.rows", F.lit(0)).alias("cut_rows"), F.coalesce("top.taken", F.lit(0)).alias("cut_taken"))
+    found = checkpoint(sources.join(cuts, _SOURCE, "left").select(
+        *_SOURCE, "source_size", "target", "whole", F.coalesce("cut", F.lit("")).alias("cut"), F.coalesce("cut_rows", F.lit(0)).alias("cut_rows"), F.coalesce("cut_taken", F.lit(0)).alias("cut_taken"),
+    ))
+    return F.broadcast(found) if found.count() <= BROADCAST_SOURCES else found
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """Adds times: how often each row, joined with its source's plan, is taken."""
+    partly = (F.col("order_key") == F.col("cut")) & (F.col("cut_taken") < F.col("cut_rows"))
+    plainly = rows.where(~partly).withColumn("times", F.col("whole") + (F.col("order_key") <= F.col("cut")).cast("long"))
+    tied = checkpoint(rows.where(partly).withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id()}))
+    if tied.isEmpty():
+        return plainly
+    per_part = tied.groupBy(*_SOURCE, "part").agg(F.count("*").alias("n"))
+    before = per_part.withColumn("before", F.sum("n").over(Window.partitionBy(*_SOURCE).orderBy("part")) - F.col("n")).drop("n")
+    number = F.col("before") + F.row_number().over(Window.partitionBy(*_SOURCE, "part").orderBy("place"))
+    numbered = tied.join(before, [*_SOURCE, "part"]).withColumn("times", F.col("whole") + (number <= F.col("cut_taken")).cast("long"))
+    return plainly.unionByName(numbered.select(plainly.columns))
 
 
 @dataclass(frozen=True)
@@ -103,35 +134,30 @@ class Mix:
     seed: int = SEED
 
     def _sized(self, docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-        key = order_key(F.col(id_col), F.col(text_col), self.seed)
-        narrow = with_source(docs, source_col).select(F.col(id_col), *_SOURCE, word_count(F.col(text_col)).alias("size"), key.alias("order_key"))
+        key = place_key(F.col(id_col), F.col(text_col), self.seed)
+        narrow = with_source(docs, source_col).select(F.col(id_col).alias("name"), *_SOURCE, word_count(F.col(text_col)).alias("size"), key.alias("order_key"))
         return checkpoint(narrow)
 
     def decide(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
         """(id, size, source_size, target, taken): the words that the mix takes of each row, repeats counted.
 
-        A null text has size 0; null sources form one source. Rows that share an id (or, where it is null, a text) are
-        taken alike. An empty table gives no rows.
+        A null text has size 0; null sources form one source. Rows that repeat an id, or a whole row, count each on their
+        own, so that a source meets its target however often they do. An empty table gives no rows.
         """
         sized = self._sized(docs, id_col, text_col, source_col)
-        sources = plan(sized, self.weights, self.budget, self.max_epochs)
-        return sized.join(sources, _SOURCE).select(id_col, "size", "source_size", "target", (F.col("size") * repetitions()).alias("taken"))
+        rows = sized.join(plan(sized, self.weights, self.budget, self.max_epochs), _SOURCE)
+        return counted(rows).select(F.col("name").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
     def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
         """The rows of the mix with the columns of docs, each as often as it is taken.
 
-        A document of no words follows the rule for the others of its source.
+        A document of no words follows the rule for the others of its source and is never taken more often than they are.
         """
         sources = plan(self._sized(docs, id_col, text_col, source_col), self.weights, self.budget, self.max_epochs)
-        renamed = sources.select(*[F.col(c).alias(f"__{c}") for c in sources.columns])
-        keyed = docs.withColumns({
-            "__null": F.col(source_col).isNull(), "__key": F.coalesce(F.col(source_col).cast("string"), F.lit("")),
-            "__order": order_key(F.col(id_col), F.col(text_col), self.seed),
-        })
-        joined = keyed.join(renamed, (F.col("__null") == F.col("__source_null")) & (F.col("__key") == F.col("__source_key")))
-        times = (F.col("__whole") + (F.col("__order") <= F.col("__cut")).cast("long")).cast("int")
-        copies = F.explode(F.array_repeat(F.lit(0), times))
-        return joined.select(*[F.col(f"`{c}`") for c in docs.columns], copies.alias("__copy")).select(docs.columns)
+        whole_row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+        keyed = with_source(docs, source_col).select(whole_row, *_SOURCE, place_key(F.col(id_col), F.col(text_col), self.seed).alias("order_key"))
+        mixed = counted(keyed.join(sources, _SOURCE))
+        return mixed.select("row", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))).select("row.*")
 
 
 ORACLE = f"""
