@@ -12,34 +12,39 @@ from pyspark.sql import functions as F
 from vertexloom.llm._common import held_out, text_chunks
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 11) -> tuple[list[str], np.ndarray]:
+#: Characters of the sample for each document that it may hold, on average.
+CHARACTERS = 4000
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 11, characters: int = CHARACTERS) -> tuple[list[str], np.ndarray]:
     """Whole texts and labels of at most `per_class` rows of each class that aren't held out, in id order.
 
     The ids come first, by a seeded hash of the id among all labelled rows; their number is bounded, so they are
-    broadcast to the one scan that fetches the texts. Null ids and labels aren't learned from; of repeated ids one row
-    counts, labelled 1 if any of its labels is. Characters are bounded too: a sample keeps documents in hash order
-    while their lengths add up to at most 4,000 for each document of the bound.
+    broadcast to the one scan that fetches the texts. Null ids and labels aren't learned from; ids may have any type. Of
+    repeated ids one row counts, that of the least text, labelled 1 if any of its labels is. A class ends, in the order of
+    the hash and so whatever its documents' lengths, before the document with which it would pass `characters` *
+    per_class characters; its first document is always in.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("__id")).agg(F.max(label).cast("int").alias("__label"))
     order = F.xxhash64(F.lit(seed), "__id")
-    lengths = docs.select(F.col(id_col).alias("__id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("__n")).join(F.broadcast(_first(known, order, per_class)), "__id")
-    budget, chosen, used = 4000 * per_class, [], {0: 0, 1: 0}
-    sizes = lengths.groupBy("__id").agg(F.max("__n").alias("n"), F.first("__label").alias("y"), F.first(F.xxhash64(F.lit(seed), "__id")).alias("h")).toPandas()
-    for row in sizes.sort_values(["h", "__id"]).itertuples(index=False):
-        if used[row.y] + row.n <= budget or not used[row.y]:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    lengths = docs.select(F.col(id_col).alias("__id"), F.length(text).alias("__n")).join(F.broadcast(_first(known, order, per_class)), "__id")
+    sizes = lengths.groupBy("__id").agg(F.max("__n").alias("n"), F.first("__label").alias("y"), F.first(order).alias("h"))
+    chosen, used, over = [], {0: 0, 1: 0}, set()
+    for row in sorted(sizes.collect(), key=lambda r: (r.h, r[0])):
+        if used[row.y] and used[row.y] + row.n > characters * per_class:
+            over.add(row.y)
+        if row.y not in over:
             used[row.y] += row.n
-            chosen.append((int(row[0]), int(row.y)))
+            chosen.append((row[0], row.y))
     if not chosen:
         return [], np.zeros(0, np.int64)
-    ids = docs.sparkSession.createDataFrame(chosen, "__id long, __label int")
-    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).join(F.broadcast(ids), "__id")
-    table = rows.toArrow()
-    picked: dict[int, tuple[str, int]] = {}
-    for i, text, y in zip(*(table.column(c).to_pylist() for c in ("__id", "__text", "__label"))):
-        picked[i] = min(picked.get(i, (text, y)), (text, y))
-    texts = [picked[i][0] for i in sorted(picked)]
-    return texts, np.array([picked[i][1] for i in sorted(picked)], np.int64)
+    ids = docs.sparkSession.createDataFrame(chosen, f"__id {labels.schema[id_col].dataType.simpleString()}, __label int")
+    rows = docs.select(F.col(id_col).alias("__id"), text.alias("__text")).join(F.broadcast(ids), "__id")
+    table = rows.groupBy("__id").agg(F.min("__text").alias("__text"), F.first("__label").alias("__label")).toArrow()
+    picked = sorted(zip(*(table.column(c).to_pylist() for c in ("__id", "__text", "__label"))))
+    return [x for _, x, _ in picked], np.array([y for *_, y in picked], np.int64)
 
 
 def _first(known: DataFrame, order, per_class: int) -> DataFrame:
