@@ -105,6 +105,18 @@ def test_sample_is_bounded(frames):
     assert 0 < (y == 1).sum() <= 40 and 0 < (y == 0).sum() <= 40 and len(texts) == len(y)
 
 
+def test_sample_ends_whatever_the_lengths(spark):
+    docs = spark.createDataFrame([(f"id{i}", "x" * (1000 if i % 2 else 10)) for i in range(400)] + [("id5", "x")], "doc_id string, text string")
+    labels = spark.createDataFrame([(f"id{i}", i // 2 % 2) for i in range(400)], "doc_id string, toxic int")
+    every, y = labelled.sample(docs, labels, "toxic", 1000)
+    assert len(every) == sum(zlib.crc32(f"id{i}".encode()) % 5 != 0 for i in range(400)) and "x" in every
+    texts, y = labelled.sample(docs, labels, "toxic", 100, characters=300)
+    assert all(sum(len(t) for t, k in zip(texts, y) if k == c) <= 30_000 for c in (0, 1))
+    assert 0.3 < np.mean([len(t) > 500 for t in texts]) < 0.7
+    for operator in (toxicity, quality):
+        assert operator.score(docs, labels.withColumn("quality", labels.toxic)).count() == 401
+
+
 def test_voting_matches_brute_force():
     docs, labels = synthetic(300)
     texts, y = [d[1] for d in docs], np.array([x[1] for x in labels])
@@ -140,3 +152,125 @@ def test_shape_reads_whole_words():
     assert quality.shape("a" * 64 + "!" * 40 + "7") == "a!!0"
     one, other = quality.Words()(["x" * 64 + "#7"]), quality.Words()(["x" * 64 + "Q"])
     assert (one != other).any() and quality.shape("x" * 64 + "#7") != quality.shape("x" * 64 + "Q")
+
+
+def side_by_side(n, seed):
+    """Toxic where two clean words stand side by side in one order; the others hold both of them apart or turned around."""
+    names = random.Random(1)
+    words = ["".join(names.choice("abcdefghij") for _ in range(names.randint(2, 7))) for _ in range(400)]
+    rng, texts, y = random.Random(seed), [], []
+    for _ in range(n):
+        text = [rng.choice(words) for _ in range(rng.randint(20, 120))]
+        k, toxic = rng.randint(0, len(text) - 10), rng.random() < 0.4
+        if toxic:
+            text[k:k] = ["red", "kite"]
+        else:
+            text.insert(k, "kite")
+            text.insert(k + rng.choice([1, 3, 5, 8]), "red")
+            if rng.random() < 0.5:
+                text = ["red", *text, "kite"]
+        texts.append(" ".join(text))
+        y.append(int(toxic))
+    return texts, np.array(y)
+
+
+def test_toxic_pairs_of_clean_words_are_learned():
+    net = toxicity.train(*side_by_side(3000, 2))
+    texts, y = side_by_side(1000, 3)
+    predicted = toxicity.Scorer(net)(texts) >= toxicity.THRESHOLD
+    assert (predicted == y).mean() >= 0.95
+
+
+def naive_logit(net, text):
+    """Loops over words, filters and places."""
+    words = toxicity.Words()
+    vectors = []
+    for w in text.lower().split():
+        code = words[w]
+        one, other = net.tables[0][code & 0xFFFFF], net.tables[1][code >> 20 & 0xFFFFF]
+        vectors.append([u if abs(u) < abs(v) else v for u, v in zip(one, other)])
+    blank = [0.0] * len(net.tables[0][0])
+    z = float(net.offset)
+    for i, width in enumerate(toxicity.WIDTHS):
+        for f in range(toxicity.FILTERS):
+            best = max(
+                sum(float(np.dot((vectors + [blank] * width)[p + j] if p + j < len(vectors) else blank, net.kernels[i][j, :, f])) for j in range(width))
+                for p in range(max(len(vectors), 1))
+            )
+            at = i * toxicity.FILTERS + f
+            z += max(best + float(net.bias[at]), 0) * float(net.weights[at])
+    return z
+
+
+def test_forward_pass_matches_loops(monkeypatch):
+    texts, y = side_by_side(300, 5)
+    net = toxicity.train(texts, y)
+    samples = [*texts[:6], "", "one", "red kite", texts[7] * 30]
+    expected = [naive_logit(net, t) for t in samples]
+    assert np.allclose(toxicity.Scorer(net).logits(samples)[0], expected, atol=1e-3)
+    monkeypatch.setattr(toxicity, "CHUNK_CHARS", 40)  # slice by slice
+    for text, z in zip(samples, expected):
+        assert abs(toxicity.Scorer(net).logits([text])[0][0] - z) < 1e-3
+
+
+def test_gradients_match_differences():
+    texts, y = side_by_side(12, 6)
+    rng = np.random.default_rng(0)
+    net = toxicity.initial(rng)
+    net.tables = net.tables.astype(np.float64) + rng.normal(0, 0.3, net.tables.shape)
+    net.tables[:, toxicity.BUCKETS] = 0
+    net.kernels = [k.astype(np.float64) + rng.normal(0, 0.3, k.shape) for k in net.kernels]
+    net.bias, net.weights = rng.normal(0, 0.3, net.bias.shape), rng.normal(0, 0.5, net.weights.shape)
+    first, second, lengths, _ = toxicity.Words()(texts)
+    a, b, starts = toxicity.padded((first, second), lengths)
+    balance = rng.uniform(0.5, 1.5, len(y))
+
+    def run():
+        return toxicity.gradients(net, a, b, starts, lengths, y, balance)
+
+    _, tables, kernels, bias, weights, offset = run()
+    checked = [(net.bias, i, bias[i]) for i in range(0, len(bias), 5)] + [(net.weights, i, weights[i]) for i in range(0, len(weights), 5)]
+    checked += [(k, i, g[i]) for k, g in zip(net.kernels, kernels) for i in [(0, 3, 1), (len(k) - 1, 0, 6)]]
+    for k, (rows, grad) in enumerate(tables):
+        for r in np.argsort(-np.abs(grad).sum(axis=1))[:6]:
+            if rows[r] != toxicity.BUCKETS:
+                d = int(np.abs(grad[r]).argmax())
+                checked.append((net.tables, (k, rows[r], d), grad[r, d]))
+    for value, at, found in checked:
+        kept, step = value[at], 1e-5
+        value[at] = kept + step
+        up = run()[0]
+        value[at] = kept - step
+        down = run()[0]
+        value[at] = kept
+        assert abs((up - down) / (2 * step) - found) < 1e-4 + 0.02 * abs(found)
+    net.offset += 1e-5
+    up = run()[0]
+    net.offset -= 2e-5
+    assert abs((up - run()[0]) / 2e-5 - offset) < 1e-4
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1"), reason="needs the test tables")
+def test_toxic_documents_are_found_and_clean_ones_left_alone(spark):
+    docs, labels = (read_table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
+    rows = toxicity.score(docs, labels).where("held_out").join(labels, "doc_id").select("predicted", "toxic").collect()
+    hit = sum(p and t for p, t in rows)
+    assert hit / sum(t for _, t in rows) >= 0.8 and hit / sum(p for p, _ in rows) >= 0.9
+
+
+def test_held_out_labels_change_no_score(spark, frames):
+    docs, _, _, truth = frames
+    plain = spark.createDataFrame([(i, q, t, x) for i, q, t, x in truth], LABELS)
+    flipped = spark.createDataFrame([(i, 1 - q, 1 - t, x) if zlib.crc32(str(i).encode()) % 5 == 0 else (i, q, t, x) for i, q, t, x in truth], LABELS)
+    for operator in (toxicity, quality):
+        a, b = ({(r.doc_id, r.score) for r in operator.score(docs, known).collect()} for known in (plain, flipped))
+        assert a == b
+
+
+def test_slices_keep_words_whole():
+    from vertexloom.llm._common import word_slices
+
+    text = "aa  bbb c\u3000dddddddd e\n" * 9 + "x" * 50
+    parts = list(word_slices(text, 7))
+    assert "".join(p for p, _ in parts) == text and [last for _, last in parts] == [False] * (len(parts) - 1) + [True]
+    assert [w for p, _ in parts for w in p.split()] == text.split()

@@ -91,6 +91,20 @@ def text_chunks(texts: list[str | None] | pa.Array, limit: int | None = None) ->
         yield start, held
 
 
+def word_slices(text: str, limit: int) -> Iterator[tuple[str, bool]]:
+    """Slices of about `limit` characters that together hold the text's words, none of them cut, and whether each is the last."""
+    low = 0
+    while len(text) - low > limit:
+        high = low + limit
+        while high < len(text) and not text[high].isspace():
+            high += 1
+        if high == len(text):
+            break
+        yield text[low:high], False
+        low = high
+    yield text[low:], True
+
+
 def record_batch(columns: Iterable, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 

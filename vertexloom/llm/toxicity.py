@@ -5,6 +5,11 @@ of smaller magnitude counts, as in a count-min sketch, so that a clean word pass
 both. Filters of widths 1, 2 and 3 slide over the whole text, each is pooled by its maximum and rectified, and a logistic
 layer reads the pooled values.
 
+Every entry of the embeddings, filters and the logistic layer is trained. They start near what counts of the sample
+suggest: the first dimension of a word from its class evidence, the others at random, and filters of widths 2 and 3 from
+the word sequences of most evidence that their own words don't explain, so that the order of words can be learned from
+thousands of documents. Words of fewer than LEAST_DOCUMENTS sampled documents are out of the vocabulary, a zero vector.
+
 Thresholds are calibrated by language. The language is guessed from the text's own function words, never read from a
 column; for each one with enough calibration rows of both classes the cut of best F1 is found on documents that the
 weights didn't train on, and the score is the logistic of the distance to that cut, so 0.5 is the threshold everywhere.
@@ -21,12 +26,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from vertexloom.llm import labelled
+from vertexloom.llm._common import CHUNK_CHARS, text_chunks, word_slices
 
 #: At most so many training documents of each class.
 PER_CLASS = 3000
 THRESHOLD = 0.5
 BUCKETS = 1 << 17
-DIMENSIONS = 8
+DIMENSIONS = 32
 WIDTHS = (1, 2, 3)
 FILTERS = 8
 EPOCHS = 8
@@ -34,8 +40,9 @@ BATCH = 32
 RATE = 0.1
 CALIBRATION_SHARE = 5  # one in so many sampled documents
 LEAST_ROWS = 15  # of each class, for a threshold of a language's own
-LEAST_DOCUMENTS = 3  # a bucket seen in fewer sampled documents, or in less than LEAST_SHARE of the positive ones, stays zero
-LEAST_SHARE = 0.01
+LEAST_DOCUMENTS = 3  # a bucket seen in fewer sampled documents stays zero
+LEAST_SHARE = 0.01  # of the positive documents, for a bucket's evidence to count
+SLOPE = 4.0  # of a filter made for a word sequence, between what misses a word and what has all
 SIGNIFICANT = 4.0
 SIGNIFICANT_SHARE = 0.5
 LEAST_PRECISION = 0.8
@@ -79,15 +86,18 @@ class Words(dict):
         return code
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Both buckets of every word, the words of each text, and each text's language (len(LANGUAGES): unknown)."""
+        """Both buckets of every word, the words of each text, and the language hints of each text's words."""
         split = [t.lower().split() for t in texts]
         lengths = np.fromiter(map(len, split), np.int64, len(split))
         codes = np.fromiter((c for words in split for c in map(self.__getitem__, words)), np.int64, int(lengths.sum()))
-        hint = codes >> 40
         owner = np.repeat(np.arange(len(texts)), lengths)
-        votes = np.bincount(owner * 5 + hint, minlength=5 * len(texts)).reshape(-1, 5)[:, 1:]
-        language = np.where(votes.any(axis=1), votes.argmax(axis=1), len(LANGUAGES))
-        return codes & 0xFFFFF, codes >> 20 & 0xFFFFF, lengths, language
+        votes = np.bincount(owner * 5 + (codes >> 40), minlength=5 * len(texts)).reshape(-1, 5)[:, 1:]
+        return codes & 0xFFFFF, codes >> 20 & 0xFFFFF, lengths, votes
+
+
+def languages_of(votes: np.ndarray) -> np.ndarray:
+    """The language of most hints in each row; len(LANGUAGES) where there are none."""
+    return np.where(votes.any(axis=1), votes.argmax(axis=1), len(LANGUAGES))
 
 
 @dataclass
@@ -109,29 +119,75 @@ class Network:
 
 
 def initial(rng: np.random.Generator) -> Network:
-    tables = rng.normal(0, 0.01, (2, BUCKETS + 1, DIMENSIONS)).astype(np.float32)
-    kernels = [rng.normal(0, 0.3, (w, DIMENSIONS, FILTERS)).astype(np.float32) for w in WIDTHS]
+    tables = rng.normal(0, 1.5 / np.sqrt(DIMENSIONS), (2, BUCKETS + 1, DIMENSIONS)).astype(np.float32)
+    tables[:, :, 0] = 0
+    kernels = [rng.normal(0, 0.02, (w, DIMENSIONS, FILTERS)).astype(np.float32) for w in WIDTHS]
     for k in kernels:
-        k[:, 0, :] = np.abs(k[:, 0, :]) + 0.3
+        k[:, 0, :] = np.abs(rng.normal(0, 0.3, k[:, 0, :].shape)) + 0.3
     tables[:, BUCKETS] = 0
     return Network(tables, kernels, np.zeros(len(WIDTHS) * FILTERS, np.float32), np.full(len(WIDTHS) * FILTERS, 0.5, np.float32), -1.0)
 
 
+def deviations(items: np.ndarray, owner: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(item, documents, positive documents, z): how far an item's positive documents are from those expected, in standard deviations."""
+    order = np.lexsort((items, owner))
+    items, owner = items[order], owner[order]
+    once = np.r_[True, (items[1:] != items[:-1]) | (owner[1:] != owner[:-1])] if len(items) else np.zeros(0, bool)
+    item, inverse = np.unique(items[once], return_inverse=True)
+    seen = np.bincount(inverse, minlength=len(item))
+    positive = np.bincount(inverse, weights=y[owner[once]], minlength=len(item))
+    share = y.mean()
+    return item, seen, positive, (positive - share * seen) / np.sqrt(share * (1 - share) * seen + 1)
+
+
 def evidence(buckets: np.ndarray, owner: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """By bucket, the class evidence of its documents within -1 to 1, and whether there is enough to learn its vector.
+    """By bucket, the class evidence of its documents within -1 to 1, and whether it belongs to the vocabulary.
 
     Evidence is the distance of its positive documents from those expected, in standard deviations, beyond SIGNIFICANT.
     """
-    pairs = np.unique(owner * (BUCKETS + 1) + buckets)
-    document, bucket = pairs // (BUCKETS + 1), pairs % (BUCKETS + 1)
-    seen = np.bincount(bucket, minlength=BUCKETS + 1)
-    positive = np.bincount(bucket, weights=y[document], minlength=BUCKETS + 1)
-    share = y.mean()
-    z = (positive - share * seen) / np.sqrt(share * (1 - share) * seen + 1)
-    least = min(SIGNIFICANT, SIGNIFICANT_SHARE * float(np.abs(z).max()))  # a small sample's best evidence is weaker
+    bucket, seen, _, z = deviations(buckets, owner, y)
+    least = min(SIGNIFICANT, SIGNIFICANT_SHARE * float(np.abs(z).max(initial=0)))  # a small sample's best evidence is weaker
     score = np.sign(z) * np.clip((np.abs(z) - least) / max(least, 1e-9), 0, 1)
-    known = (seen >= max(LEAST_DOCUMENTS, LEAST_SHARE * y.sum())) & (score != 0)
-    return np.where(known, score, 0), known
+    score[seen < max(LEAST_DOCUMENTS, LEAST_SHARE * y.sum())] = 0
+    out, known = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1, bool)
+    out[bucket], known[bucket] = score, seen >= LEAST_DOCUMENTS
+    return out, known
+
+
+def start_filters(net: Network, codes: np.ndarray, owner: np.ndarray, y: np.ndarray) -> None:
+    """Makes filters of widths above 1 from sequences of words whose evidence exceeds that of every shorter part.
+
+    codes: both buckets of each word in one integer. Such a filter answers the sequence's own vectors, less what the
+    sequence with one word missing gives.
+    """
+    mix = np.int64(0x9E3779B97F4A7C1 | 1)
+    keys = codes
+    word, _, _, z = deviations(keys, owner, y)
+    part = z[np.searchsorted(word, keys)]  # the most evidence of any part of the sequence that starts here
+    for i, w in enumerate(WIDTHS):
+        if w == 1:
+            continue
+        longer = keys[:-1] * mix ^ codes[w - 1 :] if len(keys) > 1 else keys[:0]
+        inside = owner[: len(longer)] == owner[w - 1 : w - 1 + len(longer)]
+        part = np.maximum(part[:-1], part[1:]) if len(part) > 1 else part[:0]
+        item, seen, positive, z = deviations(longer[inside], owner[: len(longer)][inside], y)
+        at = np.searchsorted(item, longer).clip(0, max(len(item) - 1, 0))
+        own = np.where(inside, z[at], -np.inf) if len(item) else np.full(len(longer), -np.inf)
+        enough = seen >= max(LEAST_DOCUMENTS, LEAST_SHARE * y.sum()) if len(item) else np.zeros(0, bool)
+        better = inside & (own > SIGNIFICANT) & (own > part + SIGNIFICANT) if len(item) else inside
+        chosen, first = np.unique(longer[better], return_index=True)
+        places = np.flatnonzero(better)[first]
+        places = [p for p in places[np.argsort(-own[places], kind="stable")].tolist() if enough[at[p]]][:FILTERS]
+        for f, p in enumerate(places):
+            sequence = net.embed(codes[p : p + w] & 0xFFFFF, codes[p : p + w] >> 20 & 0xFFFFF)
+            sizes = (sequence**2).sum(axis=1)
+            if not (sizes > 1e-3).all():
+                continue
+            scale = SLOPE / sizes
+            net.kernels[i][:, :, f] = sequence * scale[:, None]
+            net.bias[i * FILTERS + f] = -SLOPE * (w - 0.5)
+            net.weights[i * FILTERS + f] = 1.0
+        keys, part = longer, np.maximum(part, own)
 
 
 def one_of_each(codes: np.ndarray, lengths: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -166,6 +222,40 @@ def padded(buckets: tuple[np.ndarray, np.ndarray], lengths: np.ndarray) -> tuple
     return out[0], out[1], starts
 
 
+def gradients(net: Network, a: np.ndarray, b: np.ndarray, starts: np.ndarray, spans: np.ndarray, y: np.ndarray, balance: np.ndarray):
+    """Mean balanced log loss of a batch, and its gradients: (rows, gradient) of each table, then of kernels, bias, weights, offset."""
+    x = net.embed(a, b)
+    pooled, places = [], []
+    for w, kernel in zip(WIDTHS, net.kernels):
+        n = len(a) - w + 1
+        z = sum(x[j : j + n] @ kernel[j] for j in range(w))
+        at = np.stack([s + z[s : s + m].argmax(axis=0) for s, m in zip(starts, spans)])
+        places.append(at)
+        pooled.append(z[at, np.arange(FILTERS)])
+    pooled = np.concatenate(pooled, axis=1) + net.bias
+    active = np.maximum(pooled, 0)
+    z = active @ net.weights + net.offset
+    loss = float(np.mean(balance * np.where(y == 1, np.logaddexp(0, -z), np.logaddexp(0, z))))
+    g = ((1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) * balance / len(y)).astype(np.float32)
+    down = g[:, None] * net.weights * (pooled > 0)
+    kernels, touched, deltas = [], [], []
+    for i, (w, kernel) in enumerate(zip(WIDTHS, net.kernels)):
+        d, at = down[:, i * FILTERS : (i + 1) * FILTERS], places[i]
+        kernels.append(np.stack([np.einsum("bf,bfd->df", d, x[at + j]) for j in range(w)]))
+        for j in range(w):
+            touched.append((at + j).ravel())
+            deltas.append((d[:, :, None] * kernel[j].T[None]).reshape(-1, x.shape[1]))
+    at, delta = np.concatenate(touched), np.concatenate(deltas)
+    first = np.abs(net.tables[0][a[at]]) < np.abs(net.tables[1][b[at]])  # the entry of smaller magnitude is the one that counts
+    tables = []
+    for buckets, mine in ((a, first), (b, ~first)):
+        rows, inverse = np.unique(buckets[at], return_inverse=True)
+        grad = np.zeros((len(rows), x.shape[1]), delta.dtype)
+        np.add.at(grad, inverse, delta * mine)
+        tables.append((rows, grad))
+    return loss, tables, kernels, down.sum(axis=0), active.T @ g, g.sum()
+
+
 def train(texts: list[str], y: np.ndarray, seed: int = 5) -> Network:
     rng = np.random.default_rng(seed)
     net = initial(rng)
@@ -187,8 +277,8 @@ def train(texts: list[str], y: np.ndarray, seed: int = 5) -> Network:
     for k, buckets in enumerate((first, second)):
         score, known[k] = evidence(buckets[used], renumber[owner[used]], y[fit])
         net.tables[k, :, 0] += score
-        known[k, BUCKETS] = False
     net.tables[~known] = 0
+    start_filters(net, first[used] | second[used] << 20, renumber[owner[used]], y[fit])
     squares = [np.full(x.shape, 1e-2, np.float32) for x in (net.tables, *net.kernels, net.bias, net.weights)]
     offset_square = 1e-2
     order = np.flatnonzero(fit)
@@ -197,48 +287,18 @@ def train(texts: list[str], y: np.ndarray, seed: int = 5) -> Network:
         rng.shuffle(order)
         for low in range(0, len(order), BATCH):
             docs = order[low : low + BATCH]
-            own = [np.arange(ends[d] - lengths[d], ends[d]) for d in docs]
-            words = np.concatenate(own)
+            words = np.concatenate([np.arange(ends[d] - lengths[d], ends[d]) for d in docs])
             a, b, starts = padded((first[words], second[words]), lengths[docs])
-            x = net.embed(a, b)
-            pooled, places = [], []
-            spans = np.maximum(lengths[docs], 1)
-            for w, kernel in zip(WIDTHS, net.kernels):
-                n = len(a) - w + 1
-                z = sum(x[j : j + n] @ kernel[j] for j in range(w))
-                at = np.stack([s + z[s : s + m].argmax(axis=0) for s, m in zip(starts, spans)])
-                places.append(at)
-                pooled.append(z[at, np.arange(FILTERS)])
-            pooled = np.concatenate(pooled, axis=1) + net.bias
-            active = np.maximum(pooled, 0)
-            p = 1 / (1 + np.exp(-(active @ net.weights + net.offset)))
-            g = (p - y[docs]) * balance[docs] / len(docs)
-            down = g[:, None] * net.weights * (pooled > 0)
-            grads_w, grads_b = active.T @ g, down.sum(axis=0)
-            touched, deltas = [], []
-            for i, (w, kernel) in enumerate(zip(WIDTHS, net.kernels)):
-                d, at = down[:, i * FILTERS : (i + 1) * FILTERS], places[i]
-                grad = np.zeros_like(kernel)
-                for j in range(w):
-                    window = x[at + j]  # docs, filters, dimensions
-                    grad[j] = np.einsum("bf,bfd->df", d, window)
-                    touched.append((at + j).ravel())
-                    deltas.append((d[:, :, None] * kernel[j].T[None]).reshape(-1, DIMENSIONS))
-                squares[1 + i] += grad**2
-                kernel -= RATE * grad / np.sqrt(squares[1 + i])
-            at, delta = np.concatenate(touched), np.concatenate(deltas)
-            for k, buckets in enumerate((a, b)):
-                rows, inverse = np.unique(buckets[at], return_inverse=True)
-                grad = np.zeros((len(rows), DIMENSIONS), np.float32)
-                np.add.at(grad, inverse, delta)
-                grad[~known[k, rows]] = 0
+            _, tables, kernels, bias, weights, offset = gradients(net, a, b, starts, np.maximum(lengths[docs], 1), y[docs], balance[docs])
+            for k, (rows, grad) in enumerate(tables):
+                grad[~known[k, rows]] = 0  # padding and words out of the vocabulary
                 squares[0][k, rows] += grad**2
                 net.tables[k, rows] -= RATE * grad / np.sqrt(squares[0][k, rows])
-            for value, grad, square in ((net.bias, grads_b, squares[-2]), (net.weights, grads_w, squares[-1])):
+            for value, grad, square in zip((*net.kernels, net.bias, net.weights), (*kernels, bias, weights), squares[1:]):
                 square += grad**2
                 value -= RATE * grad / np.sqrt(square)
-            offset_square += g.sum() ** 2
-            net.offset -= RATE * g.sum() / np.sqrt(offset_square)
+            offset_square += offset**2
+            net.offset -= RATE * offset / np.sqrt(offset_square)
     calibrate(net, texts, y, parts if len(set(y[parts].tolist())) == 2 else np.ones(len(y), bool))
     return net
 
@@ -265,7 +325,9 @@ def best_cut(z: np.ndarray, y: np.ndarray) -> float:
 
 def calibrate(net: Network, texts: list[str], y: np.ndarray, rows: np.ndarray) -> None:
     """Slope of the logistic, and each language's cut, from rows that the weights didn't train on."""
-    z, language = Scorer(net).logits([t for t, r in zip(texts, rows) if r])
+    scorer = Scorer(net)
+    found = [scorer.logits(chunk) for _, chunk in text_chunks([t for t, r in zip(texts, rows) if r])]
+    z, language = (np.concatenate(c) for c in zip(*found))
     y = y[rows]
     overall = best_cut(z, y)
     net.slope = float(np.clip(2.0 / max(np.median(np.abs(z - overall)), 1e-6), 0.2, 5.0))
@@ -281,11 +343,10 @@ class Scorer:
         self.net, self.words = net, Words()
         self.columns = np.concatenate([kernel[j] for kernel in net.kernels for j in range(len(kernel))], axis=1)
 
-    def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        first, second, lengths, language = self.words(texts)
+    def pool(self, first: np.ndarray, second: np.ndarray, lengths: np.ndarray, spans: np.ndarray) -> np.ndarray:
+        """The maximum of each filter over the windows that start at the first `spans` words of each run of `lengths` words."""
         a, b, starts = padded((first, second), lengths)
-        out = np.empty((len(texts), len(self.net.bias)), np.float32)
-        spans = np.maximum(lengths, 1)
+        out = np.empty((len(lengths), len(self.net.bias)), np.float32)
         column = 0
         added = self.net.embed(a, b) @ self.columns  # what a word at each place of each filter adds to it
         bounds = np.column_stack([starts, starts + spans]).ravel()  # every other slice lies between texts
@@ -296,7 +357,29 @@ class Scorer:
                 z += added[j : j + n, column + j * FILTERS : column + (j + 1) * FILTERS]
             column += w * FILTERS
             out[:, i * FILTERS : (i + 1) * FILTERS] = np.maximum.reduceat(z, bounds if bounds[-1] < n else bounds[:-1], axis=0)[::2]
-        return np.maximum(out + self.net.bias, 0) @ self.net.weights + self.net.offset, language
+        return out
+
+    def _long(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Pooled filters and language hints of a long text, slice by slice; windows reach over the slices' ends."""
+        out, votes, reach = None, np.zeros((1, len(LANGUAGES)), np.int64), max(WIDTHS) - 1
+        first = second = np.zeros(0, np.int64)
+        for part, last in word_slices(text, CHUNK_CHARS):
+            a, b, _, hints = self.words([part])
+            first, second, votes = np.concatenate([first, a]), np.concatenate([second, b]), votes + hints
+            spans = len(first) if last else len(first) - reach
+            if spans > 0 or (last and out is None):
+                pooled = self.pool(first, second, np.array([len(first)]), np.array([max(spans, 1)]))
+                out = pooled if out is None else np.maximum(out, pooled)
+                first, second = first[spans:], second[spans:]
+        return out, votes
+
+    def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(texts) == 1 and len(texts[0]) > CHUNK_CHARS:
+            out, votes = self._long(texts[0])
+        else:
+            first, second, lengths, votes = self.words(texts)
+            out = self.pool(first, second, lengths, np.maximum(lengths, 1))
+        return np.maximum(out + self.net.bias, 0) @ self.net.weights + self.net.offset, languages_of(votes)
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         if self.net.constant is not None:
@@ -313,7 +396,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted): one row per row of docs.
 
-    Null and empty texts are scored like any other, as texts of no words. Repeated rows and null ids are kept; a null
+    Null and empty texts are scored like any other, as texts of no words; very long ones whole, slice by slice. Repeated rows and null ids are kept; a null
     id isn't held out. Without labels of both classes the score is the smoothed share of the one, 0 if there are none.
     """
     return labelled.score_documents(docs, partial(Scorer, fit(docs, labels)), THRESHOLD)
