@@ -48,6 +48,13 @@ def test_sql(spark, pages):
     assert sorted(str(tuple(r)) for r in warc.page_digests(unique, scratch_path(spark, "warc")).collect()) == expected
 
 
+def test_sql_on_repeated_rows_and_null_ids(spark, pages):
+    c = duckdb.connect()
+    c.register("pages", pages.toArrow())
+    expected = sorted(map(str, c.sql(warc.ORACLE).fetchall()))
+    assert sorted(str(tuple(r)) for r in warc.page_digests(pages, scratch_path(spark, "warc")).collect()) == expected
+
+
 def test_transactions_and_archives(spark, pages, tmp_path):
     path = f"file://{tmp_path}/archives"
     warc.write_archives(pages, path)

@@ -203,9 +203,9 @@ def page_digests(pages: DataFrame, path: str) -> DataFrame:
 ORACLE = f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p),
-g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS last FROM d)
-SELECT page_id, payload_bytes, payload_digest,
-       CASE WHEN payload_bytes >= {LEAST_REVISIT_BYTES} AND last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN payload_bytes >= {LEAST_REVISIT_BYTES} AND last <> page_id THEN last END AS refers_to
+g AS (
+  SELECT *, max(page_id) OVER w AS last, row_number() OVER (w ORDER BY page_id DESC NULLS LAST) > 1 AND payload_bytes >= {LEAST_REVISIT_BYTES} AS again
+  FROM d WINDOW w AS (PARTITION BY payload_digest, payload_bytes))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN last END AS refers_to
 FROM g
 """
