@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 CHUNK_CHARS = 1 << 19
 #: Rows of an Arrow column that become Python strings at once.
 SLICE_ROWS = 512
+_WHITE = re.compile(r"[\x20\x09-\x0D]")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,16 +94,11 @@ def text_chunks(texts: list[str | None] | pa.Array, limit: int | None = None) ->
 
 
 def word_slices(text: str, limit: int) -> Iterator[tuple[str, bool]]:
-    """Slices of about `limit` characters that together hold the text's words, none of them cut, and whether each is the last."""
+    """Slices of about `limit` characters that together are the text, cut only before ASCII white space, and whether each is the last."""
     low = 0
-    while len(text) - low > limit:
-        high = low + limit
-        while high < len(text) and not text[high].isspace():
-            high += 1
-        if high == len(text):
-            break
-        yield text[low:high], False
-        low = high
+    while len(text) - low > limit and (cut := _WHITE.search(text, low + limit)):
+        yield text[low : cut.start()], False
+        low = cut.start()
     yield text[low:], True
 
 
