@@ -41,6 +41,20 @@ def test_digests_match_library(spark, library, texts):
         assert row.decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
 
 
+def test_long_texts_go_slice_by_slice(library, texts, monkeypatch):
+    rng = random.Random(6)
+    words = ["don't", "I'll", " ", "  \n", "\n\n", "e\u0301te\u0301", "12", "x.", "!!", "\u3000", "\t", "(a)", "'s"]
+    monkeypatch.setattr(byte_bpe, "CHUNK_CHARS", 12)
+    monkeypatch.setattr(byte_bpe, "CACHED_BYTES", 40)
+    bpe = byte_bpe.ByteBpe(PATH, byte_bpe.class_ranges())
+    for text in [*texts[1:300], *(" ".join(rng.choice(words) for _ in range(rng.randint(5, 60))) for _ in range(200)), "y" * 300 + " " + "z" * 300]:
+        assert "".join(byte_bpe.safe_slices(text, 12)) == text
+        (raw,) = bpe.encode([text])
+        assert np.frombuffer(raw, "<u4").tolist() == library.encode_ordinary(text)
+    assert all(len(p.encode()) <= 40 for p in bpe.pieces)
+    assert byte_bpe.PATTERN == public_tokenizers.PATTERN
+
+
 def test_round_trip_and_offsets(spark, library, texts):
     encoded = byte_bpe.encode_documents(frame(spark, texts), PATH)
     back = {r.doc_id: r.text for r in byte_bpe.decode_documents(encoded, PATH).collect()}

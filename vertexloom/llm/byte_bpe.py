@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
@@ -25,14 +26,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.llm._common import record_batch, text_chunks
+from vertexloom.llm._common import CHUNK_CHARS, record_batch, text_chunks
 
 #: Pieces whose merges a worker remembers; beyond it only the KEPT_PIECES learned first, mostly common ones, stay.
 CACHE_PIECES = 1 << 17
 KEPT_PIECES = 1 << 15
 #: Bytes from which a piece is merged with a heap instead of by scanning all pairs.
 HEAP_BYTES = 96
+#: Bytes up to which a piece is remembered; longer ones are merged where they occur.
+CACHED_BYTES = 256
+#: What the automaton below does, in the notation of regular expressions.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NO_RANK = 1 << 30
+_CUT = re.compile(r"[A-Za-z0-9.,;:!?)\]}>\"](?=[\x20\n])")
 
 # symbol classes
 BREAK, SPACE, WHITE, LETTER, NUMBER, OTHER, APOSTROPHE = range(7)
@@ -260,6 +266,16 @@ class PairTable:
         return out
 
 
+def safe_slices(text: str, limit: int) -> Iterator[str]:
+    """Slices of about `limit` characters that are tokenised on their own as within the text: cut between a character that
+    is no white space and one that is."""
+    low = 0
+    while len(text) - low > limit and (cut := _CUT.search(text, low + limit)):
+        yield text[low : cut.start() + 1]
+        low = cut.start() + 1
+    yield text[low:]
+
+
 class ByteBpe:
     """Encoder and decoder that lives as long as its Python worker."""
 
@@ -287,25 +303,35 @@ class ByteBpe:
             own = starts[at[i] + 1 : at[i + 1] + 1]
             yield [joined[a:b] for a, b in zip(own, own[1:])]
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Puts the pieces that the cache lacks into it."""
+    def _learn(self, pieces: set[str], out: dict[str, bytes]) -> None:
+        """Puts the ids of pieces into `out`."""
         new = list(pieces)
         raw = [p.encode("utf-8") for p in new]
         short = [i for i, x in enumerate(raw) if len(x) < HEAP_BYTES]
         for i, ids in zip(short, self.pairs.merge([raw[i] for i in short]) if short else []):
-            self.pieces[new[i]] = ids
+            out[new[i]] = ids
         for p, x in zip(new, raw):
             if len(x) >= HEAP_BYTES:
-                self.pieces[p] = np.array(merge_piece(x, self.ranks), "<u4").tobytes()
+                out[p] = np.array(merge_piece(x, self.ranks), "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text as little-endian 32-bit bytes."""
+        """Ids of each text as little-endian 32-bit bytes; a long text goes slice by slice."""
+        if len(texts) == 1 and len(texts[0]) > CHUNK_CHARS:
+            yield b"".join(x for part in safe_slices(texts[0], CHUNK_CHARS) for x in self._encode([part]))
+        else:
+            yield from self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> Iterator[bytes]:
         split = list(self.split(texts))
         wanted = set().union(*split)
         if len(self.pieces) > CACHE_PIECES:
             self.pieces = dict(islice(self.pieces.items(), KEPT_PIECES))
-        self._learn(wanted.difference(self.pieces))
-        piece = self.pieces.__getitem__
+        new = wanted.difference(self.pieces)
+        long = {p for p in new if len(p) > CACHED_BYTES // 4 and len(p.encode("utf-8")) > CACHED_BYTES}
+        once: dict[str, bytes] = {}
+        self._learn(new - long, self.pieces)
+        self._learn(long, once)
+        piece = self.pieces.__getitem__ if not once else lambda p: self.pieces[p] if p in self.pieces else once[p]
         for tokens in split:
             yield b"".join(map(piece, tokens))
 

@@ -14,6 +14,8 @@ from vertexloom.llm._common import read_table, scratch_path
 def _vocabulary() -> str:
     import public_tokenizers
 
+    if public_tokenizers.PATTERN != byte_bpe.PATTERN:
+        raise ValueError("the tokenizer splits texts by another pattern than the automaton's")
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
