@@ -274,3 +274,12 @@ def test_slices_keep_words_whole():
     parts = list(word_slices(text, 7))
     assert "".join(p for p, _ in parts) == text and [last for _, last in parts] == [False] * (len(parts) - 1) + [True]
     assert [w for p, _ in parts for w in p.split()] == text.split()
+
+
+def test_quality_features_of_long_texts_add_up(monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["aa", "bb", "B2!", "cc", "x" * 30]) for _ in range(n)) for n in (1, 2, 3, 40, 300)]
+    whole = [quality.Words()([t]) for t in texts]
+    monkeypatch.setattr(quality, "CHUNK", 16)
+    for text, counts in zip(texts, whole):
+        assert (quality.Words()([text]) == counts).all()

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.llm import labelled
-from vertexloom.llm._common import text_chunks
+from vertexloom.llm._common import text_chunks, word_slices
 
 #: At most so many labelled documents of each class vote.
 PER_CLASS = 2000
@@ -61,8 +61,20 @@ class Words(dict):
         return code
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        """Counts of the features of each text."""
-        split = [t.split() for t in texts]
+        """Counts of the features of each text; a long one's are added up slice by slice."""
+        if len(texts) != 1 or len(texts[0]) <= CHUNK:
+            return self._count([t.split() for t in texts])
+        out, before = np.zeros((1, FEATURES), np.int64), []
+        for part, _ in word_slices(texts[0], CHUNK):
+            words = part.split()
+            out += self._count([before + words])
+            if before:  # the words that two slices share count once
+                out -= self._count([before])
+            before = (before + words)[-2:]
+        return out
+
+    def _count(self, split: list[list[str]]) -> np.ndarray:
+        texts = split
         lengths = np.fromiter(map(len, split), np.int64, len(split))
         codes = np.fromiter((c for words in split for c in map(self.__getitem__, words)), np.int64, int(lengths.sum()))
         owner = np.repeat(np.arange(len(texts)), lengths)
@@ -182,7 +194,7 @@ def model(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted): one row per row of docs.
 
-    A text of no words, null included, resembles nothing and gets the labelled sample's share of label 1. Repeated rows
+    Very long texts are read whole, slice by slice. A text of no words, null included, resembles nothing and gets the labelled sample's share of label 1. Repeated rows
     and null ids are kept; a null id isn't held out. Without any labels the score is 0.
     """
     return labelled.score_documents(docs, partial(Scorer, model(docs, labels)), THRESHOLD)
