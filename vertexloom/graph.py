@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vertexloom.plans.lineage import table
 from vertexloom.schema import EDGE_COLUMNS, HYPEREDGE_COLUMNS, NODE_COLUMNS, ddl
 
 
@@ -23,6 +24,7 @@ class PropertyGraph:
     nodes: DataFrame
     edges: DataFrame
     hyperedges: DataFrame | None = None
+    written_pairs: DataFrame | None = None
 
     @classmethod
     def of(cls, spark: SparkSession, nodes: list[dict] | DataFrame, edges: list[dict] | DataFrame, hyperedges: list[dict] | DataFrame | None = None) -> PropertyGraph:
@@ -36,8 +38,14 @@ class PropertyGraph:
 
     def pairs(self) -> DataFrame:
         """(a, b) once for each unordered pair of ends, a <= b; a self-loop is (a, a)."""
+        if self.written_pairs is not None:
+            return self.written_pairs
         return self.edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
 
+    def settled(self) -> PropertyGraph:
+        """The graph with its pairs written once, for what reads them more than once."""
+        return self if self.written_pairs is not None else PropertyGraph(self.nodes, self.edges, self.hyperedges, table(self.pairs()))
+
     def adjacency(self) -> DataFrame:
         """(src, dst) both ways, without self-loops, each neighbour once."""
         pairs = self.pairs().where("a <> b")
@@ -51,7 +59,7 @@ class PropertyGraph:
 
     def with_context(self, contexts: list[str]) -> PropertyGraph:
         """Edges of the given contexts; all nodes stay."""
-        return PropertyGraph(self.nodes, self.edges.where(F.col("context").isin(contexts)) if contexts else self.edges, self.hyperedges)
+        return PropertyGraph(self.nodes, self.edges.where(F.col("context").isin(contexts)), self.hyperedges) if contexts else self
 
     def path_view(self) -> DataFrame:
         """(src, dst) directed, and every `contains` the other way too."""
@@ -71,7 +79,12 @@ class PropertyGraph:
         return self.edges.exceptAll(ok.select(self.edges.columns))
 
     def pruned(self) -> PropertyGraph:
-        """Without dangling edges."""
+        """Without dangling edges and without hyperedge members that are no nodes; a hyperedge of none goes."""
         known = self.nodes.select("id")
         kept = self.edges.join(known, F.col("src") == known["id"], "left_semi").join(known, F.col("dst") == known["id"], "left_semi")
-        return PropertyGraph(self.nodes, kept, self.hyperedges)
+        hyper = self.hyperedges
+        if hyper is not None:
+            members = hyper.select(F.col("id").alias("edge"), F.posexplode("nodes").alias("pos", "member"))
+            there = members.join(known, F.col("member") == known["id"], "left_semi").groupBy("edge").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "member"))), lambda x: x["member"]).alias("kept"))
+            hyper = hyper.join(there, F.col("id") == F.col("edge")).withColumn("nodes", F.col("kept")).select(self.hyperedges.columns)
+        return PropertyGraph(self.nodes, kept, hyper)

@@ -87,6 +87,14 @@ def _whole(f: _Fields, joined: str, w: float) -> Column:
     return F.when(equal, EXACT * 10 * w).when(starts, PREFIX * 10 * w).otherwise(0.0)
 
 
+def _with_fields(nodes: DataFrame) -> tuple[DataFrame, _Fields]:
+    """Nodes with the folded fields as columns, computed once a row: a generator keeps projections from being merged with them."""
+    f = _Fields.of()
+    names = list(_Fields.__dataclass_fields__)
+    fields = F.array(F.struct(*[getattr(f, n).alias(f"__{n}") for n in names]))
+    return nodes.select("id", "label", F.inline(fields)), _Fields(*[F.col(f"__{n}") for n in names])
+
+
 def score(graph: PropertyGraph, question: str) -> DataFrame:
     """(id, label, score) of matching nodes, best first by (score, label length, id) when ordered so.
 
@@ -96,12 +104,13 @@ def score(graph: PropertyGraph, question: str) -> DataFrame:
     idf = weights(graph.nodes, norm_terms)
     if not norm_terms:
         return graph.nodes.select("id", "label", F.lit(0.0).alias("score")).limit(0)
-    f, joined = _Fields.of(), " ".join(norm_terms)
+    nodes, f = _with_fields(graph.nodes)
+    joined = " ".join(norm_terms)
     tiers = [_tiers(f, t, idf[t]) for t in norm_terms]
     matched = reduce(lambda a, b: a + b, [m for *_, m in tiers])
     tiered = _sum([t for t, *_ in tiers]) * F.pow(matched / F.lit(float(len(norm_terms))), F.lit(2.0))
     total = _whole(f, joined, max(idf.values())) + _sum([s for _, s, _, _ in tiers]) + _sum([s for _, _, s, _ in tiers]) + tiered
-    return graph.nodes.select("id", "label", total.alias("score")).where("score > 0")
+    return nodes.select("id", "label", total.alias("score")).where("score > 0")
 
 
 def ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -111,9 +120,10 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
 def winners(graph: PropertyGraph, question: str) -> DataFrame:
     """(term, id): each term's best node on its own, by score, degree, label length and id."""
     norm_terms = tokens_of(query_terms(question))
-    idf, f = weights(graph.nodes, norm_terms), _Fields.of()
+    idf = weights(graph.nodes, norm_terms)
+    nodes, f = _with_fields(graph.nodes)
     alone = F.array(*[F.struct(F.lit(t).alias("term"), (_whole(f, t, idf[t]) + _sum(list(_tiers(f, t, idf[t])[:3]))).alias("s")) for t in norm_terms])
-    hits = graph.nodes.select("id", "label", F.inline(F.filter(alone, lambda x: x["s"] > 0))) if norm_terms else graph.nodes.select("id", "label", F.lit("").alias("term"), F.lit(0.0).alias("s")).limit(0)
+    hits = nodes.select("id", "label", F.inline(F.filter(alone, lambda x: x["s"] > 0))) if norm_terms else graph.nodes.select("id", "label", F.lit("").alias("term"), F.lit(0.0).alias("s")).limit(0)
     best = hits.join(graph.degrees(), "id").groupBy("term").agg(F.min(F.struct((-F.col("s")).alias("s"), (-F.col("degree")).alias("d"), F.length(F.coalesce("label", "id")).alias("n"), "id")).alias("k"))
     return best.select("term", "k.id", (-F.col("k.s")).alias("score"), F.col("k.d").alias("minus_degree"), F.col("k.n").alias("length"))
 
@@ -121,18 +131,16 @@ def winners(graph: PropertyGraph, question: str) -> DataFrame:
 def pick_seeds(graph: PropertyGraph, question: str, most: int = 3, gap: float = 0.2) -> list[str]:
     """Best nodes while they score a fifth of the top, one for each label, and then each term's own winner, strongest first.
 
-    Verbs that name relations have no winner unless the question is made of them. At most 50 ranked rows are collected.
+    Verbs that name relations have no winner unless the question is made of them. Labels fold in Spark, so that however
+    many nodes share a label, only `most` rows and one a term are collected.
     """
     norm_terms = tokens_of(query_terms(question))
-    top = ranked(score(graph, question), 50).collect()
-    seeds, labels = [], set()
-    for r in top:
-        if len(seeds) >= most or (seeds and r["score"] < gap * top[0]["score"]):
-            break
-        key = (r["label"] or r["id"]).lower()
-        if key not in labels:
-            labels.add(key)
-            seeds.append(r["id"])
+    name = F.lower(F.coalesce("label", "id"))
+    order = F.struct((-F.col("score")).alias("s"), F.length(F.coalesce("label", "id")).alias("n"), F.col("id").alias("id"))
+    scored = checkpoint(score(graph, question).groupBy(name.alias("name")).agg(F.min(order).alias("k")))
+    top = scored.orderBy("k").limit(most).collect()
+    seeds = [r["k"]["id"] for r in top if -r["k"]["s"] >= gap * -top[0]["k"]["s"]]
+    labels = {r["name"] for r in top[: len(seeds)]}
     content = [t for t in norm_terms if t not in RELATION_VERBS] or norm_terms
     order = winners(graph, question).where(F.col("term").isin(*content)) if norm_terms else None
     if order is not None:
@@ -148,12 +156,9 @@ def pick_seeds(graph: PropertyGraph, question: str, most: int = 3, gap: float =
 def endpoint(graph: PropertyGraph, name: str) -> str | None:
     """The best node whose label holds every token of the name, else the best node."""
     tokens = tokens_of([name])
-    scored = checkpoint(ranked(score(graph, name), 1000))
-    full = scored.where(F.size(F.array_except(F.array(*map(F.lit, tokens)), text.search_tokens(F.coalesce("label", "id")))) == 0) if tokens else scored
-    for rows in (ranked(full, 1), ranked(scored, 1)):
-        if found := rows.collect():
-            return found[0]["id"]
-    return None
+    full = F.size(F.array_except(F.array(*map(F.lit, tokens)), text.search_tokens(F.coalesce("label", "id")))) == 0 if tokens else F.lit(True)
+    found = score(graph, name).orderBy(F.desc(full), F.desc("score"), F.length(F.coalesce("label", "id")), "id").limit(1).collect()
+    return found[0]["id"] if found else None
 
 
 def name_tiers(graph: PropertyGraph, name: str) -> DataFrame:
