@@ -173,13 +173,34 @@ def build(graph: PropertyGraph, directed: bool = False) -> PropertyGraph:
 
 
 def union(*graphs: PropertyGraph) -> PropertyGraph:
-    """All rows of the fragments, later ones after earlier ones in insertion order."""
-    nodes = edges = None
+    """All rows of the fragments, later ones after earlier ones in insertion order.
+
+    Places of a graph are moved behind those of all before it, by the least and largest of each, which one aggregate finds;
+    so places grow with what they number and not with the number of merges.
+    """
+    ends = None
     for k, g in enumerate(graphs):
-        later = (F.lit(k).cast("bigint") * (1 << 56) + F.coalesce("ord", F.lit(0))).alias("ord")
-        n, e = g.nodes.withColumn("ord", later), g.edges.withColumn("ord", later)
+        part = g.nodes.select(F.lit(k).alias("k"), F.coalesce("ord", F.lit(0)).alias("ord")).union(g.edges.select(F.lit(k), F.coalesce("ord", F.lit(0))))
+        ends = part if ends is None else ends.union(part)
+    spans = {r["k"]: (r["low"], r["high"]) for r in ends.groupBy("k").agg(F.min("ord").alias("low"), F.max("ord").alias("high")).collect()}
+    nodes = edges = hyper = None
+    base = 0
+    for k, g in enumerate(graphs):
+        low, high = spans.get(k, (0, -1))
+        place = (F.coalesce("ord", F.lit(0)) + F.lit(base - low).cast("long")).cast("long")
+        base += high - low + 1
+        n, e = g.nodes.withColumn("ord", place), g.edges.withColumn("ord", place)
         nodes, edges = (n, e) if nodes is None else (nodes.unionByName(n, allowMissingColumns=True), edges.unionByName(e, allowMissingColumns=True))
-    return PropertyGraph(nodes, edges)
+        hyper = merged_hyperedges(hyper, g.hyperedges)
+    return PropertyGraph(nodes, edges, hyper)
+
+
+def merged_hyperedges(older: DataFrame | None, newer: DataFrame | None) -> DataFrame | None:
+    """Hyperedges of both, those of the newer side where an id is in both."""
+    if older is None or newer is None:
+        return newer if older is None else older
+    kept = older.join(newer.select("id").distinct(), "id", "left_anti").select(older.columns)
+    return kept.unionByName(newer, allowMissingColumns=True)
 
 
 def compose(left: PropertyGraph, right: PropertyGraph) -> PropertyGraph:
@@ -189,18 +210,22 @@ def compose(left: PropertyGraph, right: PropertyGraph) -> PropertyGraph:
         a = a.select(*keys, *[F.col(c).alias(f"__l_{c}") for c in columns if c not in keys])
         return a.join(b, keys, "full").select(*[F.col(c) if c in keys else F.coalesce(F.col(c), F.col(f"__l_{c}")).alias(c) for c in columns])
 
-    return PropertyGraph(merged(left.nodes, right.nodes, ["id"], NODE_COLUMNS), merged(dedupe_edges(left.edges), dedupe_edges(right.edges), ["src", "dst", "relation"], EDGE_COLUMNS))
+    edges = merged(dedupe_edges(left.edges), dedupe_edges(right.edges), ["src", "dst", "relation"], EDGE_COLUMNS)
+    return PropertyGraph(merged(left.nodes, right.nodes, ["id"], NODE_COLUMNS), edges, merged_hyperedges(left.hyperedges, right.hyperedges))
 
 
 def prefixed(graph: PropertyGraph, tag: str, offset: int = 0) -> PropertyGraph:
     """Ids as tag::id, the repo named, communities moved up by offset."""
     name = lambda c: F.concat(F.lit(tag + "::"), F.col(c)).alias(c)
     nodes = graph.nodes.withColumns({"id": name("id"), "repo": F.lit(tag), "community": (F.col("community") + offset).cast("int")})
-    return PropertyGraph(nodes, graph.edges.withColumns({"src": name("src"), "dst": name("dst")}))
+    hyper = graph.hyperedges
+    if hyper is not None:
+        hyper = hyper.withColumns({"id": name("id"), "nodes": F.transform("nodes", lambda m: F.concat(F.lit(tag + "::"), m))})
+    return PropertyGraph(nodes, graph.edges.withColumns({"src": name("src"), "dst": name("dst")}), hyper)
 
 
 def merge_graphs(graphs: dict[str, PropertyGraph]) -> PropertyGraph:
-    """Graphs of several repositories side by side, with shared types linked."""
+    """Graphs of several repositories side by side, with prefixed ids; resolve.same_types gives the links of shared types."""
     offset, parts = 0, []
     for tag, g in sorted(graphs.items()):
         parts.append(prefixed(g, tag, offset))
@@ -226,8 +251,8 @@ def build_merge(saved: PropertyGraph, fresh: PropertyGraph, removed_sources: Dat
     kept = tier(saved.nodes).join(done, ["source_file", "__tier"], "left_anti").join(removed_sources, "source_file", "left_anti").drop("__tier").select(saved.nodes.columns)
     sources = fresh.edges.select("source_file").distinct()
     edges = saved.edges.join(sources, "source_file", "left_anti").join(removed_sources, "source_file", "left_anti").select(saved.edges.columns)
-    merged = union(PropertyGraph(kept, edges), fresh)
-    return PropertyGraph(dedupe_nodes(merged.nodes), dedupe_edges(merged.edges)).pruned()
+    merged = union(PropertyGraph(kept, edges, saved.hyperedges), fresh)
+    return PropertyGraph(dedupe_nodes(merged.nodes), dedupe_edges(merged.edges), merged.hyperedges).pruned()
 
 
 def lost_nodes(saved: DataFrame, fresh: DataFrame, removed_sources: DataFrame) -> DataFrame:
@@ -252,11 +277,13 @@ def shortest_unique_suffixes(paths: DataFrame) -> DataFrame:
 
 
 def fingerprint(graph: PropertyGraph) -> DataFrame:
-    """One row (nodes, edges): digests that don't depend on the order of rows, as counts, sums and parities of row hashes."""
+    """One row (nodes, edges): digests that don't depend on the order of rows: their number, and the sums of both halves of
+    128 bits of each row's sha256, which no rows that someone might choose bring together by chance."""
     def digest(df: DataFrame, columns: list[str], name: str) -> DataFrame:
         row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
-        half = F.conv(F.substring(row, 1, 8), 16, 10).cast("long")
-        return df.select(half.alias("h")).agg(F.concat_ws(":", F.count("*").cast("string"), F.sum("h").cast("string"), F.bit_xor("h").cast("string")).alias(name))
+        halves = [F.conv(F.substring(row, at, 16), 16, 10).cast("decimal(20,0)").alias(f"h{at}") for at in (1, 17)]
+        sums = [F.coalesce(F.sum(f"h{at}").cast("decimal(38,0)"), F.lit(0)).cast("string") for at in (1, 17)]
+        return df.select(*halves).agg(F.concat_ws(":", F.count("*").cast("string"), *sums).alias(name))
 
     return digest(graph.nodes, ["id", "label", "source_file"], "nodes").crossJoin(digest(graph.edges, ["src", "dst", "relation"], "edges"))
 

@@ -67,21 +67,69 @@ def damerau_levenshtein(a: str, b: str) -> int:
     return d[-1][-1]
 
 
-def different_variant(a: str, b: str) -> bool:
-    """Labels that name different things however alike they look: other numbers, one token more, or one short token changed."""
-    if sorted(re.findall(r"\d+", a)) != sorted(re.findall(r"\d+", b)):
+_FUNCTION_WORDS = frozenset("a an and are as at be by for from in is its of on or that the this to with".split())
+_SERIAL = re.compile(r"(.*[a-z])(\d+[a-z]*|[a-z]{2,})")
+#: Kinds that belong to their place in a file, whatever their text.
+FILE_ANCHORED = ("rationale", "document")
+
+
+def numbers_differ(a: str, b: str) -> bool:
+    """Labels of one template with other numbers; leading zeros don't count."""
+    runs = lambda x: sorted(n.lstrip("0") or "0" for n in re.findall(r"\d+", x))
+    return runs(a) != runs(b)
+
+
+def serial_siblings(a: str, b: str) -> bool:
+    """Short labels of one stem with different serial endings, as models and versions have them."""
+    if a == b or max(len(a), len(b)) >= LONG_LABEL:
+        return False
+    x, y = _SERIAL.fullmatch(a), _SERIAL.fullmatch(b)
+    return bool(x and y) and x[1] == y[1] and x[2] != y[2]
+
+
+def short_and_apart(a: str, b: str, score: float) -> bool:
+    """Short labels merge only as one substituted or swapped letter of the same length."""
+    if max(len(a), len(b)) >= LONG_LABEL:
+        return False
+    return not (score >= 97 and len(a) == len(b) and damerau_levenshtein(a, b) <= 1)
+
+
+def misspelt(x: str, y: str) -> bool:
+    """Whether two words read as one with a typing error."""
+    if len(x) == len(y) and damerau_levenshtein(x, y) <= 1:
         return True
+    return min(len(x), len(y)) >= 6 and 100 * jaro_winkler(x, y) >= MERGE
+
+
+def content_word_swapped(a: str, b: str) -> bool:
+    """As many words, one of which is another word and neither a misspelling nor a function word."""
     x, y = a.split(), b.split()
-    if len(x) == len(y):
-        changed = [(p, q) for p, q in zip(x, y) if p != q]
-        return sorted(x) != sorted(y) and any(min(len(p), len(q)) <= 3 for p, q in changed)
-    return len(set(x) ^ set(y)) == 1
+    return len(x) == len(y) and any(p != q and not {p, q} & _FUNCTION_WORDS and not misspelt(p, q) for p, q in zip(x, y))
+
+
+def extended(a: str, b: str) -> bool:
+    """One label is the other with a word more."""
+    x, y = a.split(), b.split()
+    return abs(len(x) - len(y)) == 1 and len(set(x) ^ set(y)) == 1
+
+
+def different_variant(a: str, b: str) -> bool:
+    """Labels that name different things however alike they look."""
+    return numbers_differ(a, b) or serial_siblings(a, b) or content_word_swapped(a, b) or extended(a, b)
 
 
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series, crossing: pd.Series) -> pd.Series:
     """Percent: Jaro for long labels of different files, Jaro-Winkler otherwise; 0 for different variants."""
-    return pd.Series([0.0 if different_variant(x, y) else 100 * (jaro(x, y) if c and min(len(x), len(y)) >= LONG_LABEL else jaro_winkler(x, y)) for x, y, c in zip(a, b, crossing)], dtype="float64")
+
+    def one(x: str, y: str, c: bool) -> float:
+        if numbers_differ(x, y):
+            return 0.0
+        score = 100 * (jaro(x, y) if c and min(len(x), len(y)) >= LONG_LABEL else jaro_winkler(x, y))
+        # what scores too low to count needs no look at its words
+        return 0.0 if score >= AMBIGUOUS - 5 and (different_variant(x, y) or short_and_apart(x, y, score)) else score
+
+    return pd.Series([one(x, y, c) for x, y, c in zip(a, b, crossing)], dtype="float64")
 
 
 def _entities(nodes: DataFrame) -> DataFrame:
@@ -127,20 +175,32 @@ def candidate_pairs(labels: DataFrame) -> DataFrame:
 
 
 def fuzzy_pairs(nodes: DataFrame) -> DataFrame:
-    """(id, other, score): representatives of similar labels, by MinHash candidates and string similarity."""
+    """(id, other, score): representatives of similar labels, by MinHash candidates and string similarity.
+
+    Pairs whose lengths alone keep Jaro-Winkler under the ambiguous band aren't compared. Kinds that belong to their file
+    have no partner in another one.
+    """
     rows = _entities(nodes).where(text.entropy(F.col("key")) >= LEAST_ENTROPY)
-    reps = checkpoint(rows.groupBy("key").agg(F.min_by(F.struct("id", "source_file", "community"), F.col("ord")).alias("r")))
-    pairs = candidate_pairs(reps)
+    reps = checkpoint(rows.groupBy("key").agg(F.min_by(F.struct("id", "source_file", "community", "file_type"), F.col("ord")).alias("r")))
+    short, long = F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b"))
+    # Jaro is at most (1 + short / long + 1) / 3, and the prefix bonus takes at most 0.4 of what is missing
+    jaro_bound = (F.lit(2.0) + short / long) / 3
+    pairs = candidate_pairs(reps).where(100 * (jaro_bound + 0.4 * (1 - jaro_bound)) + 5 >= AMBIGUOUS)
     joined = pairs.join(reps.select(F.col("key").alias("a"), F.col("r").alias("ra")), "a").join(reps.select(F.col("key").alias("b"), F.col("r").alias("rb")), "b")
     crossing = F.coalesce(F.col("ra.source_file") != F.col("rb.source_file"), F.lit(True))
+    anchored = F.col("ra.file_type").isin(*FILE_ANCHORED) | F.col("rb.file_type").isin(*FILE_ANCHORED)
+    joined = joined.where(~(crossing & F.coalesce(anchored, F.lit(False))))
     score = similarity(F.col("a"), F.col("b"), crossing)
-    close = F.coalesce(F.col("ra.community") == F.col("rb.community"), F.lit(False)) & (F.least(F.length("a"), F.length("b")) >= LONG_LABEL)
+    close = F.coalesce(F.col("ra.community") == F.col("rb.community"), F.lit(False)) & (short >= LONG_LABEL)
     raised = joined.withColumn("score", score).where("score > 0").withColumn("score", F.col("score") + F.when(close, 5.0).otherwise(0.0))
     return raised.select(F.col("ra.id").alias("id"), F.col("rb.id").alias("other"), F.round("score", 6).alias("score"))
 
 
 def merges(nodes: DataFrame) -> DataFrame:
-    """(id, survivor) of every entity that merges into another."""
+    """(id, survivor) of every entity that merges into another. Nodes of several repositories are an error: entities merge
+    within one, before graphs are put together."""
+    if nodes.where("repo is not null").agg(F.count_distinct("repo")).first()[0] > 1:
+        raise ValueError("entities of several repositories don't merge")
     fuzzy = checkpoint(fuzzy_pairs(nodes))
     links = exact_pairs(nodes).union(fuzzy.where(F.col("score") >= MERGE).select("id", "other"))
     return survivors(nodes, links)

@@ -29,11 +29,17 @@ def candidate_tier(source: str, target: str):
 
 def raw_calls(calls: DataFrame, symbols: DataFrame, existing: DataFrame) -> DataFrame:
     """(src, dst): calls (caller, file, callee) by lower-case name to the candidate that alone is best, unless the edge exists."""
+    asked = calls.select("caller", F.col("file").alias("source_file"), F.lower("callee").alias("key")).distinct()
     names = symbols.select("id", F.lower("name").alias("key"), F.col("file").alias("target_file"))
-    joined = calls.select("caller", F.col("file").alias("source_file"), F.lower("callee").alias("key")).distinct().join(names, "key").where("caller <> id")
-    tiers = joined.withColumn("tier", candidate_tier("source_file", "target_file"))
-    best = tiers.groupBy("caller", "source_file", "key").agg(F.min("tier").alias("tier"))
-    only = tiers.join(best, ["caller", "source_file", "key", "tier"]).groupBy("caller", "source_file", "key").agg(F.count_distinct("id").alias("n"), F.min("id").alias("dst")).where("n = 1")
+    # of a name's symbols in one file only whether there are none, one or more counts, so files stand for symbols
+    held = names.groupBy("key", "target_file").agg(F.count_distinct("id").alias("n"), F.min("id").alias("id"), F.max("id").alias("last"))
+    joined = asked.join(held, "key")
+    own = (F.col("caller") == F.col("id")) | (F.col("caller") == F.col("last"))  # a caller is no candidate of its own call
+    inside = joined.where(own & (F.col("n") <= 2)).withColumn("id", F.when(F.col("caller") == F.col("id"), F.col("last")).otherwise(F.col("id"))).withColumn("n", F.col("n") - 1).where("n > 0")
+    tiers = joined.where(~own | (F.col("n") > 2)).unionByName(inside).withColumn("tier", candidate_tier("source_file", "target_file"))
+    best = tiers.groupBy("caller", "source_file", "key").agg(F.min(F.struct("tier", "id")).alias("k"), F.min("tier").alias("tier"))
+    alone = tiers.groupBy("caller", "source_file", "key", "tier").agg(F.sum("n").alias("n"))
+    only = best.join(alone.where("n = 1"), ["caller", "source_file", "key", "tier"]).select("caller", F.col("k.id").alias("dst"))
     return only.select(F.col("caller").alias("src"), "dst").distinct().join(existing.select("src", "dst"), ["src", "dst"], "left_anti")
 
 
@@ -68,6 +74,15 @@ def same_types(graph: PropertyGraph, group: str = "norm_label") -> DataFrame:
     return pairs.join(linked, ["src", "dst"], "left_anti")
 
 
+def same_type_members(graph: PropertyGraph, group: str = "norm_label") -> DataFrame:
+    """(name, repo, id, head): the holders of every name that several repositories have, each with the least of its own;
+    any two of different repositories are of one type, which same_types links through the heads."""
+    rows = graph.nodes.where(F.col(group).isNotNull() & F.col("repo").isNotNull()).select(F.col(group).alias("name"), "repo", "id")
+    heads = rows.groupBy("name", "repo").agg(F.min("id").alias("head"))
+    shared = heads.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+    return rows.join(heads, ["name", "repo"]).join(shared, "name", "left_semi")
+
+
 def member_calls(parked: DataFrame, graph: PropertyGraph) -> DataFrame:
     """(src, dst): parked calls (caller, repo, type_name, member) to another repository's only type and member of that name."""
     types = graph.nodes.select(F.col("id").alias("type_id"), F.lower("label").alias("type_key"), F.col("repo").alias("type_repo"))

@@ -18,11 +18,12 @@ _FIELDS = "array<map<string,string>>"
 
 def _rows(documents: DataFrame, names: tuple[str, ...], columns: dict[str, str], aliases: dict[str, tuple[str, ...]]) -> DataFrame:
     items = F.coalesce(*[F.from_json(F.get_json_object("value", f"$.{n}"), _FIELDS) for n in names], F.array().cast(_FIELDS))
-    spread = documents.withColumn("__doc", F.monotonically_increasing_id()).select("__doc", F.posexplode(items).alias("pos", "m"))
+    # items come out in their order, so one number a row is their place, however many documents and partitions there are
+    spread = documents.select(F.explode(items).alias("m")).withColumn("__place", F.monotonically_increasing_id())
     values = []
     for name, kind in columns.items():
         if name == "ord":
-            values.append((F.col("__doc") * (1 << 24) + F.col("pos")).cast("bigint").alias("ord"))
+            values.append(F.col("__place").alias("ord"))
         else:
             found = F.coalesce(*[F.element_at("m", a) for a in (*aliases.get(name, ()), name)])
             values.append((F.from_json(found, "array<string>") if kind == "array<string>" else found.try_cast(kind)).alias(name))
