@@ -126,12 +126,15 @@ def tree_rollup(graph: PropertyGraph) -> DataFrame:
 
 def surprises(graph: PropertyGraph, top_n: int = 10) -> DataFrame:
     """(src, dst, relation, score, ord): cross-file edges between entities by how little they are to be expected."""
-    degrees = graph.degrees()
-    du, dv = degrees.select(F.col("id").alias("src"), F.col("degree").alias("du")), degrees.select(F.col("id").alias("dst"), F.col("degree").alias("dv"))
-    edges = PropertyGraph(graph.nodes, graph.edges.where(~F.col("relation").isin(*STRUCTURAL_RELATIONS) & (F.col("src") != F.col("dst")))).ends().join(du, "src").join(dv, "dst")
+    # structural edges and entities that don't count go before anything is joined; an end carries only what is scored
+    fields = F.struct("label", "source_file", "repo", "community", "degree")
+    rows = graph.nodes.where("source_file <> ''").join(graph.degrees(), "id")
+    rows = rows.where(~is_file_node(F.col("label"), F.col("source_file"), F.col("degree")) & ~is_concept_node(F.col("source_file")))
+    rows = rows.select("id", fields.alias("v"))
+    edges = graph.edges.where(~F.col("relation").isin(*STRUCTURAL_RELATIONS) & (F.col("src") != F.col("dst"))).select("src", "dst", "relation", "confidence", "ord")
+    edges = edges.join(rows.select(F.col("id").alias("src"), F.col("v").alias("u")), "src").join(rows.select(F.col("id").alias("dst"), "v"), "dst")
     su, sv = F.coalesce("u.source_file", F.lit("")), F.coalesce("v.source_file", F.lit(""))
-    plain = lambda s, d: ~is_file_node(F.col(f"{s}.label"), F.col(f"{s}.source_file"), F.col(d)) & ~is_concept_node(F.col(f"{s}.source_file"))
-    edges = edges.where((su != sv) & (su != "") & (sv != "") & plain("u", "du") & plain("v", "dv"))
+    edges = edges.where(su != sv)
     confidence = F.coalesce("confidence", F.lit("EXTRACTED"))
     cu, cv = text.file_category(su), text.file_category(sv)
     resolver = (confidence == "INFERRED") & F.col("relation").isin("calls", "uses") & (text.cross_language(su, sv) | ((cu == "code") & (cv == "doc")) | ((cu == "doc") & (cv == "code")))
@@ -140,7 +143,7 @@ def surprises(graph: PropertyGraph, top_n: int = 10) -> DataFrame:
     place = ~(F.col("u.repo").eqNullSafe(F.col("v.repo")) & (text.top_dir(su) == text.top_dir(sv)))
     score = base + one(cu != cv, 2) + one(place, 2) + one(F.coalesce(F.col("u.community") != F.col("v.community"), F.lit(False)), 1)
     score = F.when(F.col("relation") == "semantically_similar_to", F.floor(score * 1.5)).otherwise(score)
-    score = score + ((F.least("du", "dv") <= 2) & (F.greatest("du", "dv") >= 5)).cast("int")
+    score = score + ((F.least("u.degree", "v.degree") <= 2) & (F.greatest("u.degree", "v.degree") >= 5)).cast("int")
     ranked = edges.withColumn("score", score.cast("long")).orderBy(F.desc("score"), "ord", "src", "dst", "relation").limit(top_n)
     return ranked.select("src", "dst", "relation", "score", "ord")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from dataclasses import dataclass
 from functools import reduce
 
@@ -23,6 +24,33 @@ STOPWORDS = frozenset(
 RELATION_VERBS = frozenset("call calls called caller callers use uses used import imports imported extend extends implement implements inherit inherits contain contains reference references".split())
 
 
+#: Words that people use for an edge's context, by the context.
+CONTEXT_WORDS = {
+    "call": "call calls called invoke invocation", "import": "import imports imported module modules", "export": "export exports exported",
+    "field": "field fields member members property properties", "parameter_type": "param params parameter parameters arg args argument arguments",
+    "return_type": "return returns returned", "generic_arg": "generic generics template templates", "attribute": "attribute annotation annotations decorator decorators",
+}
+#: Words of a question that hint at a context; arg, args, annotations and exports don't.
+_HINTS = {w: c for c, words in CONTEXT_WORDS.items() if c not in ("attribute", "export") for w in words.split() if w not in ("arg", "args", "invocation")}
+_HINTS |= dict.fromkeys(("caller", "callers", "invokes", "invoked"), "call")
+_CONTEXTS = {w: c for c, words in CONTEXT_WORDS.items() for w in words.split()}
+
+
+def contexts_of(names: list[str] | None) -> list[str]:
+    """Contexts by their own or by common names, each once; unknown names stay as they are."""
+    folded = ["".join(ch for ch in unicodedata.normalize("NFKD", n) if not unicodedata.combining(ch)).strip().lower() for n in names or []]
+    return list(dict.fromkeys(_CONTEXTS.get(n, n) for n in folded if n))
+
+
+def hinted_contexts(question: str, names: list[str] | None = None) -> tuple[list[str], str | None]:
+    """(contexts, 'explicit', 'heuristic' or None): those named, else those that the question's words hint at."""
+    if named := contexts_of(names):
+        return named, "explicit"
+    words = set(re.sub(r"[?,]", " ", question.lower()).split())
+    hinted = [c for c in CONTEXT_WORDS if any(_HINTS.get(w) == c for w in words)]
+    return (hinted, "heuristic") if hinted else ([], None)
+
+
 def query_terms(question: str) -> list[str]:
     """Words of a question: no short Latin words, no stopwords unless all are; runs of CJK also as pairs of characters."""
     words = re.findall(r"\w+", question.lower())
@@ -162,16 +190,39 @@ def endpoint(graph: PropertyGraph, name: str) -> str | None:
 
 
 def name_tiers(graph: PropertyGraph, name: str) -> DataFrame:
-    """(id, tier): nodes of the best tier a name reaches: 0 its source file, 1 exact, 2 prefix, 3 substring."""
-    q = name.lower()
+    """(id, tier): nodes of the best tier a name reaches: 0 its source file, 1 exact, 2 prefix, 3 substring.
+
+    `path::symbol` means the symbol within that file, and a dotted name without spaces also its last part, where the parts
+    before it are the end of a node's path or of its id.
+    """
+    path, _, symbol = name.lower().rpartition("::")
+    q = symbol if path else name.lower()
     f = _Fields.of()
     exact = (f.norm == q) | (f.bare == q) | (f.tokens == q) | (f.id == q)
+    if not path and re.fullmatch(r"[\w]+(\.[\w]+)+", q):
+        owner, _, last = q.rpartition(".")
+        stem = F.regexp_replace(F.regexp_replace(f.source, r"\.[^./]*$", ""), "/", ".")
+        own = (f.bare == last) | (f.bare == "." + last)
+        exact = exact | (own & ((stem == owner) | F.endswith(stem, F.lit("." + owner)) | F.contains(f.id, F.lit(owner.replace(".", "_") + "_"))))
     prefix = F.startswith(f.norm, F.lit(q)) | F.startswith(f.tokens, F.lit(q))
-    tier = F.when(text.path_match(f.source, F.lit(q)) & (f.source != ""), 0).when(exact, 1).when(prefix, 2).when(F.contains(f.norm, F.lit(q)), 3)
-    hits = graph.nodes.select("id", tier.alias("tier")).where("tier is not null")
+    whole_file = (text.path_match(f.source, F.lit(q)) & (f.source != "")) if not path else F.lit(False)
+    tier = F.when(whole_file, 0).when(exact, 1).when(prefix, 2).when(F.contains(f.norm, F.lit(q)), 3)
+    nodes = graph.nodes.where(text.path_match(f.source, F.lit(path)) & (f.source != "")) if path else graph.nodes
+    hits = nodes.select("id", tier.alias("tier")).where("tier is not null")
     return hits.join(F.broadcast(hits.agg(F.min("tier").alias("tier"))), "tier").select("id", "tier")
 
 
+def refusal(graph: PropertyGraph, name: str) -> list[str]:
+    """Up to 10 ids that a query refuses to choose from: nodes that are named exactly so, if there are several; a file's own
+    node on its first line settles a path. Words that only begin or hold labels are a search and refuse nothing."""
+    tiers = name_tiers(graph, name).where("tier <= 1")
+    hits = graph.nodes.join(tiers, "id").select("id", "tier", F.col("source_location") == "L1").orderBy("id").limit(1001).collect()
+    first = [r for r in hits if r[2]]
+    if len(hits) < 2 or (hits[0]["tier"] == 0 and len(first) == 1):
+        return []
+    return [r["id"] for r in hits[:10]]
+
+
 def resolve(graph: PropertyGraph, name: str) -> tuple[str, str | None, list[str]]:
     """(status, id, candidates): 'ok', 'ambiguous' (up to 10 candidates) or 'none'; a substring hit alone is no match."""
     hits = name_tiers(graph, name).orderBy("id").limit(11).collect()
@@ -205,11 +256,25 @@ def community_members(graph: PropertyGraph, community: int) -> DataFrame:
     return graph.nodes.where(F.col("community") == community).select("id", "label", "community")
 
 
-def query(graph: PropertyGraph, question: str, depth: int = 3, contexts: list[str] | None = None, budget: int | None = None, seeds: list[str] | None = None) -> DataFrame:
-    """(place, id, label, hop, degree): terms, seeds, neighbourhood and order of an answer, cut to a token budget if given."""
+def query(graph: PropertyGraph, question: str, depth: int = 3, contexts: list[str] | None = None, budget: int | None = None, seeds: list[str] | None = None, mode: str = "bfs", hints: bool = False) -> DataFrame:
+    """(place, id, label, hop, degree): terms, seeds, neighbourhood and order of an answer, cut to a token budget if given.
+
+    mode 'dfs' orders the neighbourhood depth first from the seeds, hop being the depth at which a node is first met.
+    Contexts may have common names; with hints and none given, the question's words choose them.
+    """
     start = seeds or pick_seeds(graph, question)
-    visited = traverse.bfs(graph, start, depth, contexts)
-    rows = traverse.ordered_result(graph, visited).join(graph.nodes.select("id", "label"), "id")
+    contexts = hinted_contexts(question, contexts)[0] if hints else contexts_of(contexts)
+    labels = graph.nodes.select("id", "label")
+    if mode == "dfs":
+        spark = graph.nodes.sparkSession
+        met = traverse.dfs(graph.with_context(contexts), start, depth)
+        order = spark.createDataFrame([(k + 1, i, d) for k, (i, d) in enumerate(met)], "place int, id string, hop int")
+        rows = order.join(graph.degrees(), "id").join(labels, "id")
+    elif mode == "bfs":
+        view = graph.settled()
+        rows = traverse.ordered_result(view, traverse.bfs(view, start, depth, contexts)).join(labels, "id")
+    else:
+        raise ValueError("mode must be 'bfs' or 'dfs'")
     if budget is not None:
         rows = traverse.within_budget(rows.withColumn("line", F.concat_ws(" ", "id", "label")), budget).drop("line")
     return rows.select("place", "id", "label", "hop", "degree")

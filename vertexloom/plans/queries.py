@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vertexloom.functions import text
 from vertexloom.graph import PropertyGraph
-from vertexloom.operators import analytics, build, cluster, dedup, records, resolve, retrieve, traverse
+from vertexloom.operators import analytics, build, cluster, dedup, identity, records, registry, resolve, retrieve, traverse
 from vertexloom.sources import documents, sinks, tables
 from vertexloom.sources.tables import read, star_graph, star_sql
 from vertexloom.streaming import watch
@@ -391,7 +391,21 @@ def name_tiers(spark, sf):
     return retrieve.name_tiers(star_graph(spark, sf), "ASIA")
 
 
-@query()
+def _winners_sql() -> str:
+    one = []
+    for i, t in enumerate(_TERMS):
+        equal, starts = f"'{t}' IN (norm_label, bare, tok, lower(id))", f"(starts_with(norm_label, '{t}') OR starts_with(bare, '{t}') OR starts_with(tok, '{t}'))"
+        label = f"norm_label = '{t}' OR bare = '{t}'"
+        prefix = f"starts_with(norm_label, '{t}') OR starts_with(bare, '{t}')"
+        one.append(
+            f"SELECT '{t}' AS term, id, label, CASE WHEN {equal} THEN 10000.0 * w{i} WHEN {starts} THEN 1000.0 * w{i} ELSE 0.0 END + CASE WHEN {label} THEN 1000.0 * w{i} WHEN {prefix} THEN 100.0 * w{i} ELSE 0.0 END"
+            f" + CASE WHEN NOT ({label} OR {prefix}) AND contains(norm_label, '{t}') THEN w{i} ELSE 0.0 END + CASE WHEN contains(lower(source_file), '{t}') THEN 0.5 * w{i} ELSE 0.0 END AS s FROM fields"
+        )
+    rows = " UNION ALL ".join(one)
+    return _score_sql() + f", alone AS ({rows})\nSELECT term, id, round(s, 6) AS score FROM alone JOIN degrees USING (id) WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY term ORDER BY s DESC, degree DESC, length(label), id) = 1"
+
+
+@query(_winners_sql(), star=True)
 def term_winners(spark, sf):
     return retrieve.winners(star_graph(spark, sf), _QUESTION).select("term", "id", F.round("score", 6).alias("score"))
 
@@ -519,7 +533,13 @@ def import_cycles(spark, sf):
     return traverse.import_cycles(_follows(spark, sf))
 
 
-@query()
+@query(
+    "WITH RECURSIVE "
+    + star_sql()
+    + """, both_ways AS (SELECT a AS u, b AS v FROM pairs UNION SELECT b, a FROM pairs),
+reached(id) AS (SELECT min(a) FROM pairs UNION SELECT v FROM reached JOIN both_ways ON u = id)
+SELECT id AS node, (SELECT min(a) FROM pairs) AS root FROM reached WHERE id <> (SELECT min(a) FROM pairs)"""
+)
 def connected_components(spark, sf):
     return traverse.components(star_graph(spark, sf).edges.select(F.col("src").alias("u"), F.col("dst").alias("v")))
 
@@ -542,11 +562,10 @@ def normalized_ids(spark, sf):
     return part.select("p_partkey", text.ascii_id(F.concat_ws(".", "p_name", "p_type")).alias("plain_id"), text.make_id(F.col("p_name"), F.col("p_brand")).alias("made_id"))
 
 
-@query("SELECT doc_id, lower(strip_accents(left(text, 200))) AS folded, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))::BIGINT AS n_tokens FROM documents")
+@query("SELECT doc_id, lower(strip_accents(text)) AS folded, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))::BIGINT AS n_tokens FROM documents")
 def folded_text(spark, sf):
-    """Folds 200 characters, as its SQL; folded_documents folds whole texts."""
     docs = read(spark, sf, "documents")
-    return docs.select("doc_id", text.norm_label(F.substring("text", 1, 200)).alias("folded"), F.size(text.search_tokens(F.col("text"))).cast("long").alias("n_tokens"))
+    return docs.select("doc_id", text.norm_label(F.col("text")).alias("folded"), F.size(text.search_tokens(F.col("text"))).cast("long").alias("n_tokens"))
 
 
 @query("SELECT doc_id, sha256(lower(strip_accents(text))) AS folded_sha256, length(lower(strip_accents(text)))::BIGINT AS folded_length FROM documents")
@@ -597,7 +616,14 @@ def member_signatures(spark, sf):
     return star_graph(spark, sf).nodes.groupBy("community").agg(text.member_signature(F.collect_list("id")).alias("signature"))
 
 
-@query()
+_DIGEST = "count(*)::VARCHAR || ':' || sum(('0x' || h[1:16])::UBIGINT::HUGEINT)::VARCHAR || ':' || sum(('0x' || h[17:32])::UBIGINT::HUGEINT)::VARCHAR"
+
+
+@query(
+    f"""SELECT (SELECT {_DIGEST} FROM (SELECT sha256(id || '|' || label || '|' || source_file) AS h FROM nodes)) AS nodes,
+  (SELECT {_DIGEST} FROM (SELECT sha256(src || '|' || dst || '|' || relation) AS h FROM edges)) AS edges""",
+    star=True,
+)
 def fingerprint(spark, sf):
     return build.fingerprint(star_graph(spark, sf))
 
@@ -647,7 +673,7 @@ def dedupe_nodes(spark, sf):
     return build.dedupe_nodes(rows)
 
 
-@query()
+@query("SELECT src, dst, relation, confidence, min(ord) OVER (PARTITION BY src, dst, relation) AS ord FROM edges QUALIFY row_number() OVER (PARTITION BY src, dst, relation ORDER BY ord, confidence, weight) = 1", star=True)
 def collapse_pairs(spark, sf):
     return build.collapse_pairs(star_graph(spark, sf).edges).select("src", "dst", "relation", "confidence", "ord")
 
@@ -868,6 +894,105 @@ def mention_resolution(spark, sf):
     return resolve.mentions(cited, read(spark, sf, "nation").selectExpr("'n:' || n_nationkey as id", "n_name as label"))
 
 
+@query("SELECT o_orderkey AS document, 'n:' || n_nationkey AS id FROM orders JOIN nation ON n_nationkey = o_custkey % 30")
+def mentions_found(spark, sf):
+    """Orders that cite nations by name, five of thirty names being unknown ones."""
+    nation = read(spark, sf, "nation")
+    cited = read(spark, sf, "orders").selectExpr("o_orderkey as document", "o_custkey % 30 as k").join(nation, F.col("k") == F.col("n_nationkey"), "left")
+    return resolve.mentions(cited.select("document", F.coalesce(F.concat("n_name", F.lit("()")), F.lit("nowhere")).alias("name")), nation.selectExpr("'n:' || n_nationkey as id", "n_name as label"))
+
+
+@query("SELECT id FROM nodes WHERE id LIKE 'p:%' AND substr(id, 3)::BIGINT % 2 = 0", star=True)
+def orphan_stubs_dropped(spark, sf):
+    """Parts as external nodes, those of even keys without edges."""
+    g = star_graph(spark, sf)
+    used = g.nodes.where("id like 'p:%' and cast(substr(id, 3) as bigint) % 2 = 1").selectExpr("'o:0' as src", "id as dst", "'uses' as relation", "ord")
+    edges = g.edges.where("dst not like 'p:%'").unionByName(used, allowMissingColumns=True)
+    whole = PropertyGraph(g.nodes.withColumn("external", F.col("id").like("p:%")), edges)
+    return whole.nodes.select("id").exceptAll(build.drop_orphan_stubs(whole).nodes.select("id"))
+
+
+@query(
+    """SELECT 'n:' || n_nationkey AS id, repo, 'n:' || n_nationkey AS head, name FROM (
+  SELECT n_nationkey, r AS repo, n_name AS name FROM nation, (VALUES ('x'), ('y')) t(r)) WHERE n_nationkey % 2 = 0"""
+)
+def same_type_members(spark, sf):
+    """Nations of even keys in two repositories, the others in one."""
+    nation = read(spark, sf, "nation")
+    rows = nation.where("n_nationkey % 2 = 0").selectExpr("'n:' || n_nationkey as id", "n_name as label", "explode(array('x', 'y')) as repo").union(nation.where("n_nationkey % 2 = 1").selectExpr("'n:' || n_nationkey", "n_name", "'x'"))
+    return resolve.same_type_members(PropertyGraph.of(spark, rows.withColumn("ord", F.lit(0)), []), "label")
+
+
+# ---- identity ---------------------------------------------------------------------------------------------------------
+
+_SEED_NAMES = """names AS (SELECT s_name AS name FROM supplier UNION SELECT 'order#' || o_orderkey FROM orders WHERE o_orderkey % 3 = 0 UNION SELECT source_file FROM nodes
+  UNION SELECT upper(n_name) || '/' FROM nation UNION SELECT 'n:7' UNION SELECT 'no such thing' UNION SELECT 'order#'),
+asked AS (SELECT name, regexp_replace(name, '[/\\\\]+$', '') AS clean, lower(regexp_replace(name, '[/\\\\]+$', '')) AS key FROM names),
+h AS (SELECT name, id, 0 AS rank FROM asked JOIN nodes ON id = clean
+  UNION ALL SELECT name, id, 1 FROM asked JOIN nodes ON lower(label) = key
+  UNION ALL SELECT name, id, 2 FROM asked JOIN nodes ON regexp_replace(lower(label), '[()]+$', '') = regexp_replace(key, '[()]+$', '')
+  UNION ALL SELECT name, id, 3 FROM asked JOIN nodes ON lower(source_file) = key
+  UNION ALL SELECT name, id, 6 FROM asked JOIN nodes ON lower(source_file) = key AND source_location = 'L1'),
+one AS (SELECT name, rank, min(id) AS id FROM h GROUP BY 1, 2 HAVING count(DISTINCT id) = 1),
+best AS (SELECT name, arg_min(id, rank) AS id, min(rank) AS rank FROM one GROUP BY name),
+inside AS (SELECT name, min(id) AS id FROM asked JOIN nodes ON contains(lower(label), key) WHERE name NOT IN (SELECT name FROM best) GROUP BY name HAVING count(DISTINCT id) = 1)
+SELECT name, id, CASE rank WHEN 0 THEN 'id' WHEN 1 THEN 'label' WHEN 2 THEN 'bare' WHEN 3 THEN 'path' ELSE 'first line' END AS how FROM best UNION ALL SELECT name, id, 'contains' FROM inside"""
+
+
+@query(_SEED_NAMES, star=True)
+def seed_resolution(spark, sf):
+    g = star_graph(spark, sf)
+    names = read(spark, sf, "supplier").select(F.col("s_name").alias("name")).union(read(spark, sf, "orders").where("o_orderkey % 3 = 0").selectExpr("'order#' || o_orderkey")).union(g.nodes.select("source_file"))
+    names = names.union(read(spark, sf, "nation").selectExpr("upper(n_name) || '/'")).union(spark.createDataFrame([("n:7",), ("no such thing",), ("order#",)], "name string"))
+    return identity.resolve_seeds(g, names)
+
+
+_MODULES = "'src/' || p_brand || '/f' || (p_partkey % 200)::VARCHAR || '.ts'"
+
+
+@query(
+    f"""WITH m AS (SELECT DISTINCT trim(regexp_replace(lower('src/' || p_brand || '/f' || (p_partkey % 200)::VARCHAR), '[^0-9a-z_]+', '_', 'g'), '_') || '_run' AS survivor,
+  trim(regexp_replace(lower(p_brand || '/f' || (p_partkey % 200)::VARCHAR), '[^0-9a-z_]+', '_', 'g'), '_') || '_run' AS near, 'f' || (p_partkey % 200)::VARCHAR || '_run' AS bare FROM part),
+a AS (SELECT near AS id, survivor FROM m UNION ALL SELECT bare, survivor FROM m)
+SELECT id, min(survivor) AS survivor FROM a GROUP BY id HAVING count(DISTINCT survivor) = 1"""
+)
+def stale_spellings(spark, sf):
+    """Functions of modules by brand; what only the file's name would spell is often shared."""
+    rows = read(spark, sf, "part").selectExpr("'src/' || p_brand || '/f' || (p_partkey % 200) || '.ts' as source_file", "'run()' as label").distinct()
+    return identity.stale_spellings(rows.withColumn("id", F.concat(identity.full_stem(F.col("source_file")), F.lit("_run"))))
+
+
+@query("SELECT 'g:' || o_orderkey AS id, 'a:' || c_custkey AS survivor FROM orders JOIN customer ON c_custkey = o_custkey")
+def ghost_twins(spark, sf):
+    """Customers as parsed nodes, orders as nodes of the same file and label that something else found."""
+    customer = read(spark, sf, "customer").selectExpr("c_custkey", "c_name as label", "'customer/' || c_custkey % 8 || '.py' as source_file")
+    parsed = customer.selectExpr("'a:' || c_custkey as id", "label", "source_file", "'L1' as source_location", "'ast' as origin")
+    found = read(spark, sf, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey")).selectExpr("'g:' || o_orderkey as id", "label", "source_file", "cast(null as string) as source_location", "'text' as origin")
+    return identity.twins(parsed.union(found))
+
+
+@query(
+    """WITH n AS (SELECT DISTINCT 'd_x' || p_size::VARCHAR AS id, 'd/x' || p_size::VARCHAR || '.' || ['py', 'html', 'md'][(p_partkey % 3)::INT + 1] AS source_file, ['py', 'html', 'md'][(p_partkey % 3)::INT + 1] AS ext FROM part),
+w AS (SELECT id, arg_min(source_file, reverse(source_file)) AS keeps FROM n GROUP BY id HAVING count(*) > 1)
+SELECT id, source_file, id || '_' || ext AS new_id FROM n JOIN w USING (id) WHERE source_file <> keeps"""
+)
+def extension_collisions(spark, sf):
+    rows = read(spark, sf, "part").selectExpr("'d_x' || p_size as id", "'same' as label", "'d/x' || p_size || '.' || element_at(array('py', 'html', 'md'), cast(p_partkey % 3 as int) + 1) as source_file").distinct()
+    return identity.extension_collisions(rows)
+
+
+@query("SELECT 'b::' || id AS id, label FROM nodes", star=True)
+def registry_graph(spark, sf):
+    """Two repositories put in, one twice, and one taken out."""
+    g = star_graph(spark, sf)
+    empty = PropertyGraph(g.nodes.limit(0), g.edges.limit(0))
+    listed = spark.createDataFrame([], registry.REGISTRY)
+    whole, listed, _ = registry.add(empty, listed, "a", PropertyGraph(g.nodes.where("id like 'r:%'"), g.edges.limit(0)))
+    whole, listed, _ = registry.add(whole, listed, "b", g)
+    whole, listed, _ = registry.add(whole, listed, "b", g)
+    return registry.remove(whole, listed, "a")[0].nodes.select("id", "label")
+
+
 # ---- entities, communities --------------------------------------------------------------------------------------------
 
 
@@ -920,6 +1045,22 @@ def communities(spark, sf):
     return cluster.detect(star_graph(spark, sf))
 
 
+@query()
+def edge_betweenness(spark, sf):
+    """Of the graph of nations and regions, all of whose nodes are pivots."""
+    g = star_graph(spark, sf)
+    small = PropertyGraph(g.nodes.where("id like 'n:%' or id like 'r:%' or id like 's:%'"), g.edges.where("relation = 'contains' or src like 's:%' and relation = 'references'"))
+    return cluster.edge_betweenness(small).select("a", "b", F.round("score", 9).alias("score"))
+
+
+@query()
+def similar_labels(spark, sf):
+    """Part types as descriptions, each also with a letter mistyped."""
+    part = read(spark, sf, "part").selectExpr("p_partkey", "lower(p_type) || ' assembly manual volume' as label").dropDuplicates(["label"])
+    rows = part.selectExpr("'a:' || p_partkey as id", "label", "p_partkey as ord").union(part.selectExpr("'b:' || p_partkey", "replace(label, 'manual', 'manaul')", "p_partkey + 1000000000"))
+    return dedup.fuzzy_pairs(PropertyGraph.of(spark, rows.selectExpr("*", "'concept' as file_type", "id || '.md' as source_file"), []).nodes)
+
+
 @query()
 def betweenness(spark, sf):
     return cluster.betweenness(star_graph(spark, sf)).select("id", F.round("score", 4).alias("score"))

@@ -11,11 +11,12 @@ from pyspark.sql.streaming.query import StreamingQuery
 from vertexloom.functions import text
 from vertexloom.graph import PropertyGraph
 from vertexloom.operators.build import build_merge
-from vertexloom.sources.documents import read_tables
+from vertexloom.sources.documents import changed_files, read_tables
 from vertexloom.sources.sinks import write_tables
 
 DEBOUNCE = "3 seconds"
 LATENESS = "10 seconds"
+GROWTH = 2.0
 
 
 def wanted(path: Column, output_dir: str = "graph-out") -> Column:
@@ -42,6 +43,21 @@ def batches(events: DataFrame, gap: str = DEBOUNCE) -> DataFrame:
     return grouped.select("root", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n", "rebuild", "flag")
 
 
+def unchanged(manifest: DataFrame, current: DataFrame) -> bool:
+    """Whether a rebuild has nothing to do: the same paths with the same digests (path, sha256), none of them missing."""
+    rows = changed_files(manifest, current).where("change <> 'unchanged'")
+    unstamped = current.where("sha256 is null or sha256 = ''")
+    return not manifest.isEmpty() and rows.isEmpty() and unstamped.isEmpty()
+
+
+def growth(manifest: DataFrame, current: DataFrame, factor: float = GROWTH) -> DataFrame:
+    """(directory, new_files) of the three directories with most new files, if there are more than `factor` times the files
+    of the last scan; else nothing. A first scan has nothing to compare with."""
+    counts = manifest.agg(F.count("*").alias("before")).crossJoin(current.agg(F.count("*").alias("now"))).where(F.col("before") > 0).where(F.col("now") > F.col("before") * factor)
+    new = current.join(manifest.select("path"), "path", "left_anti").groupBy(text.top_dir(F.col("path")).alias("directory")).agg(F.count("*").alias("new_files"))
+    return new.crossJoin(F.broadcast(counts)).select("directory", "new_files").orderBy(F.desc("new_files"), "directory").limit(3)
+
+
 def follow_fragments(fragments: DataFrame, to_graph: Callable[[DataFrame], PropertyGraph], path: str, checkpoint: str) -> StreamingQuery:
     """Merges each micro-batch of fragments into the tables under `path`, generation by generation.
 
