@@ -2,7 +2,9 @@
 
 Each stage takes the rows that its predecessor kept, written as Parquet and read again, and decides by them alone. All but
 the last return the columns of documents. A null text counts as empty in every stage, and columns besides doc_id, text
-and source are carried along unread.
+and source are carried along unread, whatever their names. Rows that repeat count each on its own until near-duplicates
+fold, of which the least doc_id stays (null ids last, told apart by their text; of rows that can't be told apart one
+stays); mixing may then take a row twice. Empty tables give no rows, and without labels no document is rejected.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from vertexloom.llm import byte_bpe, mixing, quality, simhash, toxicity
-from vertexloom.llm._common import read_table, scratch_path
+from vertexloom.llm._common import drop_table, read_table, scratch_path
 from vertexloom.llm.queries import _vocabulary
 
 
@@ -57,6 +59,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return out
         out.write.parquet(f"{base}/{k}-{name}")
         docs = spark.read.parquet(f"{base}/{k}-{name}")
+        if k:  # what the stage before wrote has been read for the last time
+            drop_table(spark, f"{base}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
 
 
