@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vertexloom.llm import byte_bpe, licenses, mixing, mtree, one_bit_codes, quality, simhash, token_counts, toxicity, warc
-from vertexloom.llm._common import read_table, scratch_path
+from vertexloom.llm._common import drop_table, read_table, scratch_path
 
 
 def _vocabulary() -> str:
@@ -28,7 +28,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.page_digests(read_table(spark, sf_dir, "pages"), scratch_path(spark, "op3-warc"))
+    path = scratch_path(spark, "op3-warc")
+    found = warc.page_digests(read_table(spark, sf_dir, "pages"), path)
+    drop_table(spark, path)  # what was read back is checkpointed
+    return found
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
