@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -34,7 +36,9 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not (master == "local" or master.startswith("local[")):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="vertexloom-")
+    local = tempfile.mkdtemp(prefix="vertexloom-")
+    atexit.register(shutil.rmtree, local, ignore_errors=True)
+    folder = "file://" + local
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
