@@ -1,10 +1,13 @@
 """Seeds, aliases, twins, collisions, the registry, contexts, and what merges keep over many generations."""
 
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from vertexloom.graph import PropertyGraph
-from vertexloom.operators import build, cluster, dedup, identity, registry, resolve, retrieve, traverse
+from vertexloom.operators import analytics, build, cluster, dedup, identity, registry, resolve, retrieve, traverse
 from vertexloom.sources import documents
 from vertexloom.streaming import watch
 
@@ -194,3 +197,26 @@ def test_watch_gates(spark):
     grown = frame([(f"new/{i}.py", "1") for i in range(4)] + [("a/x.py", "1"), ("top.py", "2")])
     assert [tuple(r) for r in watch.growth(old, grown).collect()] == [("new", 4), (".", 1)]
     assert watch.growth(old, old).count() == 0 and watch.growth(old.limit(0), grown).count() == 0
+
+
+def test_communities_are_renamed_as_in_one_pass(spark):
+    rng = random.Random(3)
+    old = {f"n{i}": rng.choice([0, 2, 3, 7, 9, 9, 9]) for i in range(200)}
+    new = {f"n{i}": rng.choice([0, 1, 2, 3, 4, 5, 6, 6, 6]) for i in range(20, 240)}
+    overlap = Counter((old[n], new[n]) for n in old.keys() & new.keys())
+    expected, used = {}, set()
+    for (o, c), _ in sorted(overlap.items(), key=lambda p: (-p[1], p[0])):
+        if o not in used and c not in expected:
+            expected[c] = o
+            used.add(o)
+    for c in sorted(set(new.values()) - set(expected), key=lambda c: (-sum(v == c for v in new.values()), min(n for n, v in new.items() if v == c))):
+        expected[c] = next(i for i in range(100) if i not in used)
+        used.add(expected[c])
+    frame = lambda d: spark.createDataFrame(sorted(d.items()), "id string, community int")
+    assert {r.community: r.mapped for r in analytics.remap_communities(frame(old), frame(new)).collect()} == expected
+
+
+def test_cycles_without_their_tails(spark):
+    edges = [("a", "b"), ("b", "c"), ("c", "a"), ("b", "a"), ("x", "a"), ("w", "x"), ("c", "y"), ("y", "z"), ("s", "s")]
+    got = [(r.length, r.cycle) for r in traverse.import_cycles(spark.createDataFrame(edges, "src string, dst string")).collect()]
+    assert got == [(1, "s"), (2, "a -> b"), (3, "a -> b -> c")]

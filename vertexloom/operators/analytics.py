@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from vertexloom.functions import text
 from vertexloom.graph import PropertyGraph
+from vertexloom.plans.lineage import table
+from vertexloom.plans.order import row_numbers
 from vertexloom.schema import STRUCTURAL_RELATIONS
 
 BUILTIN_LABELS = (
@@ -234,22 +236,26 @@ def community_changes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def remap_communities(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(community, mapped): new ids renamed to old ones greedily by overlap, then fresh ids by size.
+    """(community, mapped): new ids renamed to old ones greedily by overlap (then by old and new id), the rest to the least
+    ids not given by then, larger communities first.
 
-    The greedy pass reads the table of overlapping pairs, one row for each, on the driver; it holds communities, not nodes.
+    Each round matches the pairs that are the best left for both their ids, which are those that a pass over all pairs in
+    order would take, so that a pair waits only for better ones of its own ids.
     """
-    spark = new.sparkSession
-    taken_old: set[int] = set()
-    mapped: dict[int, int] = {}
-    for r in community_overlap(old, new).orderBy(F.desc("overlap"), "old", "new").toLocalIterator():
-        if r["old"] not in taken_old and r["new"] not in mapped:
-            taken_old.add(r["old"])
-            mapped[r["new"]] = r["old"]
-    fresh = max([r[0] for r in old.agg(F.max("community")).collect() if r[0] is not None], default=-1) + 1
-    for r in new.groupBy("community").agg(F.count("*").alias("n"), F.min("id").alias("first")).orderBy(F.desc("n"), "first").toLocalIterator():
-        if r["community"] is not None and r["community"] not in mapped:
-            mapped[r["community"]], fresh = fresh, fresh + 1
-    return spark.createDataFrame(sorted(mapped.items()), "community int, mapped int")
+    key = F.struct((-F.col("overlap")).alias("k"), "old", "new")
+    left = table(community_overlap(old, new).where("old is not null and new is not null").select("old", "new", key.alias("key")))
+    matched = left.select("old", "new").limit(0)
+    while not left.isEmpty():
+        by_old, by_new = left.groupBy("old").agg(F.min("key").alias("key")), left.groupBy("new").agg(F.min("key").alias("key"))
+        pairs = table(by_old.select("key").intersect(by_new.select("key")).select("key.old", "key.new"))
+        matched = matched.union(pairs)
+        left = table(left.join(pairs.select("old"), "old", "left_anti").join(pairs.select("new"), "new", "left_anti").select("old", "new", "key"))
+    matched = table(matched)
+    rest = new.where("community is not null").groupBy("community").agg(F.count("*").alias("n"), F.min("id").alias("first")).join(matched.select(F.col("new").alias("community")), "community", "left_anti")
+    rest = row_numbers(rest, F.desc("n"), F.col("first"), F.col("community"), name="place").select("community", "place")
+    free = new.sparkSession.range(matched.count() + rest.count()).select(F.col("id").cast("int").alias("mapped")).join(matched.select(F.col("old").alias("mapped")), "mapped", "left_anti")
+    free = row_numbers(free, F.col("mapped"), name="place")
+    return matched.select(F.col("new").alias("community"), F.col("old").alias("mapped")).union(rest.join(free, "place").select("community", "mapped"))
 
 
 def report(graph: PropertyGraph) -> DataFrame:

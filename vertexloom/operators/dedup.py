@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -166,9 +166,9 @@ def candidate_pairs(labels: DataFrame) -> DataFrame:
     A bucket is split into blocks of about BLOCK labels by a hash; each block meets every label of its bucket in a group of
     its own, so a large bucket's pairs spread over tasks.
     """
-    spread = signatures(labels.select("key").distinct()).select("key", F.inline("bands"))
-    blocks = F.ceil(F.count("*").over(Window.partitionBy("band", "digest")) / BLOCK).cast("int")
-    rows = spread.withColumn("blocks", blocks)
+    spread = checkpoint(signatures(labels.select("key").distinct()).select("key", F.inline("bands")))
+    counts = spread.groupBy("band", "digest").agg(F.count("*").alias("n")).where("n > 1")
+    rows = spread.join(counts, ["band", "digest"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     own = rows.select("band", "digest", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), F.col("key").alias("a"))
     every = rows.select("band", "digest", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("key").alias("b"))
     return own.join(every, ["band", "digest", "block"]).where("a < b").select("a", "b").distinct()

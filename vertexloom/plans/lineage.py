@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,7 +18,9 @@ def shared_folder(spark: SparkSession) -> str:
         if not folder:
             if not (context.master == "local" or context.master.startswith("local[")):
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = "file://" + tempfile.mkdtemp(prefix="vertexloom-")
+            local = tempfile.mkdtemp(prefix="vertexloom-")
+            atexit.register(shutil.rmtree, local, ignore_errors=True)
+            folder = "file://" + local
         context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 

@@ -11,7 +11,8 @@ from vertexloom.functions import text
 from vertexloom.graph import PropertyGraph
 from vertexloom.operators import analytics, build, cluster, dedup, identity, records, registry, resolve, retrieve, traverse
 from vertexloom.sources import documents, sinks, tables
-from vertexloom.sources.tables import read, star_graph, star_sql
+from vertexloom.sources.tables import read, star_sql
+from vertexloom.sources.tables import star_graph_at_rest as star_graph
 from vertexloom.streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
