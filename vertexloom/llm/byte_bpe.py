@@ -303,16 +303,16 @@ class ByteBpe:
             own = starts[at[i] + 1 : at[i + 1] + 1]
             yield [joined[a:b] for a, b in zip(own, own[1:])]
 
-    def _learn(self, pieces: set[str], out: dict[str, bytes]) -> None:
-        """Puts the ids of pieces into `out`."""
+    def _learn(self, pieces: set[str]) -> None:
+        """Puts the pieces that the cache lacks into it."""
         new = list(pieces)
         raw = [p.encode("utf-8") for p in new]
         short = [i for i, x in enumerate(raw) if len(x) < HEAP_BYTES]
         for i, ids in zip(short, self.pairs.merge([raw[i] for i in short]) if short else []):
-            out[new[i]] = ids
+            self.pieces[new[i]] = ids
         for p, x in zip(new, raw):
             if len(x) >= HEAP_BYTES:
-                out[p] = np.array(merge_piece(x, self.ranks), "<u4").tobytes()
+                self.pieces[p] = np.array(merge_piece(x, self.ranks), "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian 32-bit bytes; a long text goes slice by slice."""
@@ -327,13 +327,13 @@ class ByteBpe:
         if len(self.pieces) > CACHE_PIECES:
             self.pieces = dict(islice(self.pieces.items(), KEPT_PIECES))
         new = wanted.difference(self.pieces)
-        long = {p for p in new if len(p) > CACHED_BYTES // 4 and len(p.encode("utf-8")) > CACHED_BYTES}
-        once: dict[str, bytes] = {}
-        self._learn(new - long, self.pieces)
-        self._learn(long, once)
-        piece = self.pieces.__getitem__ if not once else lambda p: self.pieces[p] if p in self.pieces else once[p]
+        self._learn(new)
+        piece = self.pieces.__getitem__
         for tokens in split:
             yield b"".join(map(piece, tokens))
+        for p in new:
+            if len(p) > CACHED_BYTES // 4 and len(p.encode("utf-8")) > CACHED_BYTES:
+                del self.pieces[p]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids.tolist()))
