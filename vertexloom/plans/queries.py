@@ -1189,7 +1189,24 @@ def follows_edges(spark, sf):
     return _follows(spark, sf)
 
 
-@query()
+@query(
+    """WITH n AS (SELECT 's/' || n_nationkey || '.sql' AS path, lower(n_name) AS t, 'v' || n_nationkey AS v FROM nation)
+SELECT path, 'script' AS src, 'contains' AS relation, t AS dst FROM n UNION ALL SELECT path, t, 'references', 'region' FROM n
+UNION ALL SELECT path, 'script', 'contains', v FROM n UNION ALL SELECT path, v, 'reads_from', t FROM n"""
+)
 def extracted_files(spark, sf):
     rows = tables.read(spark, sf, "nation").selectExpr("'s/' || n_nationkey || '.sql' as path", "'create table ' || n_name || ' (id int, r int references region); create view v' || n_nationkey || ' as with w as (select 1) select * from w join ' || n_name || ';' as text")
     return documents.extract(rows)
+
+
+@query(
+    """WITH c AS (SELECT 'm/' || c_custkey || '.py' AS path, 'C' || c_custkey AS t, 'Base' || c_nationkey AS b, 'pkg.m' || c_custkey % 7 AS i FROM customer)
+SELECT path, 'file' AS src, 'imports' AS relation, i AS dst FROM c UNION ALL SELECT path, 'file', 'contains', t FROM c UNION ALL SELECT path, t, 'inherits', b FROM c
+UNION ALL SELECT path, t, 'method', '.go()' FROM c UNION ALL SELECT path, 'file', 'contains', 'helper()' FROM c UNION ALL SELECT path, '.go()', 'calls', 'helper()' FROM c"""
+)
+def extracted_code(spark, sf):
+    """A Python module of each customer."""
+    lines = ("from pkg.m%d import x  # helper()", "class C%d(Base%d):", '    """def no(): no()"""', "    def go(self):", "        return helper(x) + other()", "", "def helper():", "    pass", "")
+    body = "\n".join(lines)
+    rows = read(spark, sf, "customer").select(F.expr("'m/' || c_custkey || '.py'").alias("path"), F.format_string(body, F.col("c_custkey") % 7, "c_custkey", "c_nationkey").alias("text"))
+    return documents.extract(rows)

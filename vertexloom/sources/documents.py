@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from vertexloom.functions import text
 from vertexloom.graph import PropertyGraph, conform
 from vertexloom.schema import EDGE_COLUMNS, HYPEREDGE_COLUMNS, NODE_COLUMNS
+from vertexloom.sources import code
 
 _FIELDS = "array<map<string,string>>"
 
@@ -175,8 +176,10 @@ def ddl_edges(sql: str) -> list[tuple[str, str, str]]:
         out.append(("script", "contains", _clean(m[1])))
         local = {_clean(c) for c in re.findall(rf"(?:with|,)\s+(?:recursive\s+)?({_IDENT})\s*(?:\([^)]*\))?\s+as\s*\(", m[2], re.I)}
         out += [(_clean(m[1]), "reads_from", t) for t in dict.fromkeys(_clean(x) for x in re.findall(rf"(?:from|join)\s+({_IDENT})", m[2], re.I)) if t not in local]
-    for m in re.finditer(rf"create\s+(?:or\s+replace\s+)?(?:function|procedure)\s+({_IDENT})", body, re.I):
+    for m in re.finditer(rf"create\s+(?:or\s+replace\s+)?(?:function|procedure)\s+({_IDENT})(.*?)(?=create\s+(?:or\s+replace\s+)?(?:function|procedure|table|view|trigger|index)\b|\Z)", body, re.I | re.S):
         out.append(("script", "contains", _clean(m[1])))
+        written = re.findall(rf"\b(?:insert\s+into|update|delete\s+from|merge\s+into|truncate(?:\s+table)?)\s+(?:only\s+)?({_IDENT})", m[2], re.I)
+        out += [(_clean(m[1]), "writes_to", t) for t in dict.fromkeys(map(_clean, written)) if t not in ("set", "of", "on")]
     for m in re.finditer(rf"create\s+trigger\s+({_IDENT}).*?\son\s+({_IDENT}).*?execute\s+(?:function|procedure)\s+({_IDENT})", body, re.I | re.S):
         out += [(_clean(m[1]), "triggers", _clean(m[2])), (_clean(m[1]), "executes", _clean(m[3]))]
     for m in re.finditer(rf"create\s+(?:unique\s+)?index\s+({_IDENT})\s+on\s+({_IDENT})", body, re.I):
@@ -223,7 +226,7 @@ def manifest_edges(body: str) -> list[tuple[str, str, str]]:
     return out
 
 
-EXTRACTORS = {"sql": ddl_edges, "md": markdown_edges, "json": manifest_edges, "toml": manifest_edges}
+EXTRACTORS = {**{e: code.extractor(e) for e in code.LANGUAGES}, "sql": ddl_edges, "md": markdown_edges, "json": manifest_edges, "toml": manifest_edges}
 
 
 def extract(files: DataFrame) -> DataFrame:
