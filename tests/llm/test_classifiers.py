@@ -283,3 +283,19 @@ def test_quality_features_of_long_texts_add_up(monkeypatch):
     monkeypatch.setattr(quality, "CHUNK", 16)
     for text, counts in zip(texts, whole):
         assert (quality.Words()([text]) == counts).all()
+
+
+def test_shapes_match_a_loop():
+    def loop(word):
+        kinds = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word]
+        out = []
+        for i, c in enumerate(kinds):
+            run = next((k for k in range(i, -1, -1) if k == 0 or kinds[k - 1] != c), 0)
+            if i - run < (1 if c in "Aa0" else 2):
+                out.append(c)
+        return "".join(out)
+
+    rng = random.Random(2)
+    for _ in range(5000):
+        word = "".join(rng.choice("abÉéZZ09²³!!..中ǅ_-") for _ in range(rng.randint(1, 12)))
+        assert quality.shape(word) == loop(word), word

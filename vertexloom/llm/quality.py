@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
+from itertools import islice
 from zlib import crc32
 
 import numpy as np
@@ -39,23 +40,40 @@ NEIGHBOURS = 15
 POWER = 8
 BLOCK = 256
 CACHE_WORDS = 1 << 17
+KEPT_WORDS = 1 << 15
 CHUNK = 1 << 18
 
 
+class _Kinds(dict):
+    """Code point to A for upper case, a for other letters, 0 for digits, and itself for marks."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = kind = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
+        return kind
+
+
+_KINDS = _Kinds()
+_SAME = re.compile(r"([Aa0])\1+")
+_MARKS = re.compile(r"([^Aa0])\1{2,}")
+
 
 def shape(word: str) -> str:
     """Runs of upper case, lower case and digits as A, a and 0; a run of one mark as the mark, doubled if it is longer."""
-    bare = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
-    return re.sub(r"(.)\1+", lambda m: m[1] if m[1] in "Aa0" else m[1] * 2, bare)
+    if word.isalpha() and word.islower():
+        return "a"
+    return _MARKS.sub(r"\1\1", _SAME.sub(r"\1", word.translate(_KINDS)))
 
 
 class Words(dict):
-    """Word as written to (32-bit hash, shape bucket) in one integer."""
+    """Word as written to (32-bit hash, shape bucket) in one integer; when it is full, the words learned first stay."""
 
     def __missing__(self, word: str) -> int:
         code = crc32(word.lower().encode("utf-8")) | crc32(shape(word).encode("utf-8")) % SHAPE_FEATURES << 32
         if len(self) >= CACHE_WORDS:
+            kept = list(islice(self.items(), KEPT_WORDS))
             self.clear()
+            self.update(kept)
         if len(word) <= 64:
             self[word] = code
         return code
