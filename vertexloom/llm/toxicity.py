@@ -20,6 +20,7 @@ from __future__ import annotations
 import string
 from dataclasses import dataclass, field
 from functools import partial
+from itertools import islice
 from zlib import crc32
 
 import numpy as np
@@ -49,6 +50,7 @@ LEAST_PRECISION = 0.8
 SHRINK_ROWS = 50  # of the overall threshold in a language's own
 BANDS = 3  # of three minima each, for leaving near copies out of the sample
 CACHE_WORDS = 1 << 17
+KEPT_WORDS = 1 << 15
 
 LANGUAGES = ("en", "de", "fr", "es")
 _FUNCTION_WORDS = (
@@ -80,7 +82,9 @@ class Words(dict):
         raw = bare.encode("utf-8")
         code = crc32(raw) % BUCKETS | crc32(raw, 0x9E3779B9) % BUCKETS << 20 | self.languages.get(bare, 0) << 40
         if len(self) >= CACHE_WORDS:
+            kept = list(islice(self.items(), KEPT_WORDS))
             self.clear()
+            self.update(kept)
         if len(word) <= 64:
             self[word] = code
         return code
