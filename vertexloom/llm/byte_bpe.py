@@ -331,8 +331,8 @@ class ByteBpe:
         piece = self.pieces.__getitem__
         for tokens in split:
             yield b"".join(map(piece, tokens))
-        for p in new:
-            if len(p) > CACHED_BYTES // 4 and len(p.encode("utf-8")) > CACHED_BYTES:
+        if new and max(map(len, new)) > CACHED_BYTES // 4:  # a character has four bytes at most
+            for p in [p for p in new if len(p) > CACHED_BYTES // 4 and len(p.encode("utf-8")) > CACHED_BYTES]:
                 del self.pieces[p]
 
     def decode(self, ids: np.ndarray) -> bytes:
