@@ -43,6 +43,7 @@ CALIBRATION_SHARE = 5  # one in so many sampled documents
 LEAST_ROWS = 15  # of each class, for a threshold of a language's own
 LEAST_DOCUMENTS = 3  # a bucket seen in fewer sampled documents stays zero
 LEAST_SHARE = 0.01  # of the positive documents, for a bucket's evidence to count
+PARTS = 8
 SLOPE = 4.0  # of a filter made for a word sequence, between what misses a word and what has all
 SIGNIFICANT = 4.0
 SIGNIFICANT_SHARE = 0.5
@@ -99,6 +100,13 @@ class Words(dict):
         return codes & 0xFFFFF, codes >> 20 & 0xFFFFF, lengths, votes
 
 
+def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both buckets of every word and the words of each text, chunk by chunk: words as strings take most room."""
+    words = Words()
+    found = [words(chunk)[:3] for _, chunk in text_chunks(texts)]
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
 def languages_of(votes: np.ndarray) -> np.ndarray:
     """The language of most hints in each row; len(LANGUAGES) where there are none."""
     return np.where(votes.any(axis=1), votes.argmax(axis=1), len(LANGUAGES))
@@ -117,13 +125,26 @@ class Network:
     cuts: list[float] = field(default_factory=lambda: [0.0] * (len(LANGUAGES) + 1))
     constant: float | None = None
 
+    def __getstate__(self) -> dict:
+        """Only the rows of the vocabulary travel."""
+        held = [np.flatnonzero(t.any(axis=1)) for t in self.tables]
+        return {**self.__dict__, "tables": [(rows, t[rows]) for rows, t in zip(held, self.tables)]}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ = state
+        rows = state["tables"]
+        self.tables = np.zeros((2, BUCKETS + 1, rows[0][1].shape[1]), rows[0][1].dtype)
+        for k, (at, values) in enumerate(rows):
+            self.tables[k, at] = values
+
     def embed(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         a, b = self.tables[0][first], self.tables[1][second]
         return np.where(np.abs(a) < np.abs(b), a, b)
 
 
 def initial(rng: np.random.Generator) -> Network:
-    tables = rng.normal(0, 1.5 / np.sqrt(DIMENSIONS), (2, BUCKETS + 1, DIMENSIONS)).astype(np.float32)
+    tables = rng.standard_normal((2, BUCKETS + 1, DIMENSIONS), np.float32)
+    tables *= np.float32(1.5 / np.sqrt(DIMENSIONS))
     tables[:, :, 0] = 0
     kernels = [rng.normal(0, 0.02, (w, DIMENSIONS, FILTERS)).astype(np.float32) for w in WIDTHS]
     for k in kernels:
@@ -133,15 +154,25 @@ def initial(rng: np.random.Generator) -> Network:
 
 
 def deviations(items: np.ndarray, owner: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(item, documents, positive documents, z): how far an item's positive documents are from those expected, in standard deviations."""
-    order = np.lexsort((items, owner))
-    items, owner = items[order], owner[order]
-    once = np.r_[True, (items[1:] != items[:-1]) | (owner[1:] != owner[:-1])] if len(items) else np.zeros(0, bool)
-    item, inverse = np.unique(items[once], return_inverse=True)
-    seen = np.bincount(inverse, minlength=len(item))
-    positive = np.bincount(inverse, weights=y[owner[once]], minlength=len(item))
+    """(item, documents, positive documents, z): how far an item's positive documents are from those expected, in standard
+    deviations. Items are counted in PARTS rounds by a hash, so that little is held beside them."""
+    found = []
+    spread = (items * np.int64(0x5851F42D4C957F2D | 1)) >> 40 & PARTS - 1
+    for k in range(PARTS):
+        own = np.flatnonzero(spread == k)
+        item, document = items[own], owner[own]
+        order = np.lexsort((document, item))
+        item, document = item[order], document[order]
+        once = np.r_[True, (item[1:] != item[:-1]) | (document[1:] != document[:-1])] if len(item) else np.zeros(0, bool)
+        item, document = item[once], document[once]
+        starts = np.flatnonzero(np.r_[True, item[1:] != item[:-1]]) if len(item) else np.zeros(0, np.int64)
+        positive = np.add.reduceat(y[document], starts) if len(item) else np.zeros(0, np.int64)
+        found.append((item[starts], np.diff(np.r_[starts, len(item)]), positive))
+    item, seen, positive = (np.concatenate(c) for c in zip(*found))
+    order = np.argsort(item)
+    item, seen, positive = item[order], seen[order], positive[order]
     share = y.mean()
-    return item, seen, positive, (positive - share * seen) / np.sqrt(share * (1 - share) * seen + 1)
+    return item, seen, positive, ((positive - share * seen) / np.sqrt(share * (1 - share) * seen + 1)).astype(np.float32)
 
 
 def evidence(buckets: np.ndarray, owner: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +207,7 @@ def start_filters(net: Network, codes: np.ndarray, owner: np.ndarray, y: np.ndar
         part = np.maximum(part[:-1], part[1:]) if len(part) > 1 else part[:0]
         item, seen, positive, z = deviations(longer[inside], owner[: len(longer)][inside], y)
         at = np.searchsorted(item, longer).clip(0, max(len(item) - 1, 0))
-        own = np.where(inside, z[at], -np.inf) if len(item) else np.full(len(longer), -np.inf)
+        own = np.where(inside, z[at], np.float32(-np.inf)) if len(item) else np.full(len(longer), -np.inf, np.float32)
         enough = seen >= max(LEAST_DOCUMENTS, LEAST_SHARE * y.sum()) if len(item) else np.zeros(0, bool)
         better = inside & (own > SIGNIFICANT) & (own > part + SIGNIFICANT) if len(item) else inside
         chosen, first = np.unique(longer[better], return_index=True)
@@ -266,11 +297,11 @@ def train(texts: list[str], y: np.ndarray, seed: int = 5) -> Network:
     if len(set(y.tolist())) < 2:
         net.constant = float((y.sum() + 1) / (len(y) + 2)) if len(y) else 0.0
         return net
-    first, second, lengths, _ = Words()(texts)
+    first, second, lengths = coded(texts)
     new = one_of_each(first * BUCKETS + second, lengths, y)
     if not new.all() and len(set(y[new].tolist())) == 2:
         texts, y = [t for t, n in zip(texts, new) if n], y[new]
-        first, second, lengths, _ = Words()(texts)
+        first, second, lengths = coded(texts)
     parts = np.arange(len(texts)) % CALIBRATION_SHARE == 0
     ends = np.cumsum(lengths)
     fit = ~parts if len(set(y[~parts].tolist())) == 2 else np.ones(len(y), bool)
