@@ -261,6 +261,36 @@ def test_pr_records(spark):
     assert got == ["CI-FAIL", "WRONG-BASE", "STALE", "DRAFT", "PENDING"]
 
 
+def test_impact_counts_files_before_requests_meet_them(spark):
+    nodes = [{"id": f"n{i}", "label": "x", "source_file": f"f{i % 2}.py", "community": i % 3 if i % 5 else None} for i in range(3000)]
+    prs = spark.createDataFrame([(k, f"a/f{k % 2}.py") for k in range(2000)] + [(0, "f1.py"), (1, "f1.py"), (9999, "g.py")], "pr int, file string")
+    found = records.pr_impact(PropertyGraph.of(spark, nodes, []), prs)
+    got = {r.pr: (r.n_nodes, r.n_communities) for r in found.collect()}
+    assert got == {0: (3000, 3)} | {k: (1500, 3) for k in range(1, 2000)}
+    joined = [n for n in _output_rows(found) if n > 100_000]
+    assert not joined  # no step holds a request's nodes one by one
+
+
+def _output_rows(df):
+    """Rows that each step of the plan that ran gave out."""
+    df.collect()
+    out = []
+    stack = [df._jdf.queryExecution().executedPlan()]
+    while stack:
+        plan = stack.pop()
+        if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            stack.append(plan.executedPlan())
+            continue
+        if plan.getClass().getSimpleName().endswith("QueryStageExec"):
+            stack.append(plan.plan())
+        metric = plan.metrics().get("numOutputRows")
+        if metric.isDefined():
+            out.append(metric.get().value())
+        children = plan.children()
+        stack += [children.apply(i) for i in range(children.size())]
+    return out
+
+
 def test_resolution_prefers_near_candidates(spark):
     calls = spark.createDataFrame([("f", "a/x.py", "Run"), ("g", "z/y.py", "run")], "caller string, file string, callee string")
     symbols = spark.createDataFrame([("s1", "run", "a/x.py"), ("s2", "run", "b/q.py"), ("s3", "run", "tests/test_q.py")], "id string, name string, file string")

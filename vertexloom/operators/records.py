@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vertexloom.functions import text
 from vertexloom.graph import PropertyGraph
+from vertexloom.plans.lineage import table
 
 HALF_LIFE_DAYS = 30.0
 STALE_DAYS = 14
@@ -23,18 +24,23 @@ def pr_status(base: Column, default_base: str, ci: Column, review: Column, draft
 def pr_impact(graph: PropertyGraph, files: DataFrame) -> DataFrame:
     """(pr, n_nodes, n_communities): nodes in files that a request (pr, file) touches; a path matches from any slash on.
 
-    Both sides' paths are spread into their suffixes, so the match is an equi-join and not a product.
+    Both sides' paths are spread into their suffixes, so the match is an equi-join and not a product. Nodes are counted by
+    file and community first, and once for each set of files that requests touch, so no request meets single nodes.
     """
     def tails(c: str) -> Column:
         parts = F.split(c, "/")
         return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.size(parts) - n + 1, n), "/"))
 
-    sources = graph.nodes.where("source_file <> ''").select("source_file").distinct()
-    asked = files.select("pr", "file").distinct()
-    whole = asked.join(sources.select("source_file", F.explode(tails("source_file")).alias("file")), "file")
-    part = asked.select("pr", F.explode(tails("file")).alias("source_file")).join(sources, "source_file", "left_semi").select("pr", "source_file")
-    hits = whole.select("pr", "source_file").union(part).distinct()
-    return hits.join(graph.nodes.select("source_file", "community"), "source_file").groupBy("pr").agg(F.count("*").alias("n_nodes"), F.count_distinct("community").alias("n_communities"))
+    counts = table(graph.nodes.where("source_file <> ''").groupBy("source_file", "community").agg(F.count("*").alias("n")))
+    sources = counts.select("source_file").distinct()
+    asked = files.select("file").distinct()
+    whole = asked.join(sources.select("source_file", F.explode(tails("source_file")).alias("file")), "file").select("file", "source_file")
+    part = asked.select("file", F.explode(tails("file")).alias("source_file")).join(sources, "source_file", "left_semi").select("file", "source_file")
+    hits = files.select("pr", "file").join(table(whole.union(part).distinct()), "file")
+    touched = hits.groupBy("pr").agg(F.array_sort(F.collect_set("source_file")).alias("files"))
+    sets = touched.select("files").distinct().select("files", F.explode("files").alias("source_file"))
+    found = sets.join(counts, "source_file").groupBy("files").agg(F.sum("n").alias("n_nodes"), F.count_distinct("community").alias("n_communities"))
+    return touched.join(found, "files").select("pr", "n_nodes", "n_communities")
 
 
 def pr_overlap(touched: DataFrame) -> DataFrame:
