@@ -291,6 +291,16 @@ def _output_rows(df):
     return out
 
 
+def test_labels_of_pairs_are_compared_once(spark):
+    rows = [(i, "g", ("red ring", "red rong", None)[i % 3]) for i in range(120)]
+    got = dedup.label_similarities(spark.createDataFrame(rows, "k int, g string, label string"), "k", ["g"])
+    assert got.count() == 120 * 119 // 2
+    assert {(r.a % 3, r.b % 3, None if r.score is None else round(r.score, 4)) for r in got.collect()} == {
+        (i, j, None if 2 in (i, j) else 100.0 if i == j else round(100 * dedup.jaro_winkler(rows[i][2], rows[j][2]), 4)) for i in range(3) for j in range(3)
+    }
+    assert "ArrowEvalPython" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_resolution_prefers_near_candidates(spark):
     calls = spark.createDataFrame([("f", "a/x.py", "Run"), ("g", "z/y.py", "run")], "caller string, file string, callee string")
     symbols = spark.createDataFrame([("s1", "run", "a/x.py"), ("s2", "run", "b/q.py"), ("s3", "run", "tests/test_q.py")], "id string, name string, file string")

@@ -11,13 +11,15 @@ from pyspark.sql import types as T
 
 from vertexloom.functions import text
 from vertexloom.operators.traverse import components
-from vertexloom.plans.lineage import checkpoint
+from vertexloom.plans.lineage import checkpoint, table
 
 MERGE, AMBIGUOUS = 92.0, 75.0
 LEAST_ENTROPY = 2.5
 PERMUTATIONS, BAND_ROWS = 128, 8
 LONG_LABEL = 12
 BLOCK = 64
+#: Partitions a core for pairs of rows; scores of at most so many pairs of labels are broadcast.
+SPREAD, MOST_BROADCAST = 8, 500_000
 
 
 def jaro(a: str, b: str) -> float:
@@ -132,6 +134,28 @@ def similarity(a: pd.Series, b: pd.Series, crossing: pd.Series) -> pd.Series:
     return pd.Series([one(x, y, c) for x, y, c in zip(a, b, crossing)], dtype="float64")
 
 
+@F.pandas_udf(T.DoubleType())
+def _jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else 100 * jaro_winkler(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
+def label_similarities(rows: DataFrame, key: str, group: list[str]) -> DataFrame:
+    """(a, b, score): every pair of a group's rows (key, label), a < b, with the Jaro-Winkler percentage of their labels.
+
+    Two labels are compared once, however many pairs of rows have them. Groups stay spread over SPREAD partitions a core,
+    since the pairs outgrow the rows by far and the rows' size says nothing of them.
+    """
+    rows = rows.select(F.col(key).alias("key"), *group, "label")
+    labels = rows.select(*group, "label").distinct()
+    alike = labels.withColumnRenamed("label", "la").join(labels.withColumnRenamed("label", "lb"), group).select("la", "lb").distinct()
+    scores = table(alike.repartition(SPREAD).select(F.col("la").alias("sa"), F.col("lb").alias("sb"), _jaro_winkler("la", "lb").alias("score")))
+    if scores.count() <= MOST_BROADCAST:
+        scores = F.broadcast(scores)
+    spread = rows.repartition(SPREAD * rows.sparkSession.sparkContext.defaultParallelism, *group)
+    pairs = spread.select(F.col("key").alias("a"), *group, F.col("label").alias("la")).join(spread.select(F.col("key").alias("b"), *group, F.col("label").alias("lb")), group).where("a < b")
+    return pairs.join(scores, F.col("la").eqNullSafe(F.col("sa")) & F.col("lb").eqNullSafe(F.col("sb"))).select("a", "b", "score")
+
+
 def _entities(nodes: DataFrame) -> DataFrame:
     key = text.dedup_norm(F.coalesce("label", F.lit("")))
     return nodes.where("file_type <> 'code'").withColumn("key", key).where("key <> ''")

@@ -1031,14 +1031,8 @@ def merged_entities(spark, sf):
 
 @query("SELECT a.p_partkey AS a, b.p_partkey AS b, round(100 * jaro_winkler_similarity(lower(a.p_type), lower(b.p_type)), 4) AS score FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey")
 def label_similarity(spark, sf):
-    part = read(spark, sf, "part").select("p_partkey", "p_brand", "p_size", F.lower("p_type").alias("t"))
-    pairs = part.alias("a").join(part.alias("b"), (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_size") == F.col("b.p_size")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
-
-    @F.pandas_udf(text.T.DoubleType())
-    def jw(x, y):
-        return x.combine(y, lambda p, q: 100 * dedup.jaro_winkler(p, q))
-
-    return pairs.select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), F.round(jw("a.t", "b.t"), 4).alias("score"))
+    part = read(spark, sf, "part").select("p_partkey", "p_brand", "p_size", F.lower("p_type").alias("label"))
+    return dedup.label_similarities(part, "p_partkey", ["p_brand", "p_size"]).select("a", "b", F.round("score", 4).alias("score"))
 
 
 @query()
