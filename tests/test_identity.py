@@ -220,3 +220,11 @@ def test_cycles_without_their_tails(spark):
     edges = [("a", "b"), ("b", "c"), ("c", "a"), ("b", "a"), ("x", "a"), ("w", "x"), ("c", "y"), ("y", "z"), ("s", "s")]
     got = [(r.length, r.cycle) for r in traverse.import_cycles(spark.createDataFrame(edges, "src string, dst string")).collect()]
     assert got == [(1, "s"), (2, "a -> b"), (3, "a -> b -> c")]
+
+
+def test_many_names_inside_labels(spark):
+    """More names than fit a broadcast loop are settled all the same, and by nodes, not by rows."""
+    nodes = [{"id": f"n{i}", "label": f"The Label {i:05d} of a long text, number {i:05d}"} for i in range(1500)] + [{"id": "m1", "label": "twin"}, {"id": "m2", "label": "Twin"}]
+    names = [f"long text, number {i:05d}" for i in range(1500)] + ["twi", "label 00007 of", "nothing"]
+    got = {r.name: (r.id, r.how) for r in identity.resolve_seeds(PropertyGraph.of(spark, nodes, []), spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    assert got == {f"long text, number {i:05d}": (f"n{i}", "contains") for i in range(1500)} | {"label 00007 of": ("n7", "contains")}

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from vertexloom.functions import text
 from vertexloom.graph import PropertyGraph
 from vertexloom.operators.build import remap, unique_aliases
+from vertexloom.plans.lineage import table
 
 EXTENSION = r"\.[^./]*$"
+#: Characters by which names and labels meet before they are compared in full.
+GRAM = 24
 _STANDARD_MODULES = sorted(sys.stdlib_module_names)
 
 
@@ -151,35 +154,59 @@ def resolve_seeds(graph: PropertyGraph, names: DataFrame) -> DataFrame:
     source path (its file's own node if it has several), or whose label holds the name. Names that mean no single node are
     left out.
 
-    Exact steps are equi-joins. Only names that none of them settles are compared with labels, in one scan; they are what
-    someone typed, so they are few and broadcast behind a count.
+    Nodes are folded by what a step compares, to their least and largest id, before they meet the names: one id is meant
+    where the two agree. Names that no exact step settles are looked for inside labels, see _inside.
     """
     asked = names.select("name").where("name is not null").distinct().withColumn("clean", F.regexp_replace("name", r"[/\\]+$", "")).withColumn("key", F.lower(F.when(F.col("clean") == "", F.col("name")).otherwise(F.col("clean"))))
+    asked = table(asked)
     n = graph.nodes.select("id", F.lower(F.coalesce("label", F.lit(""))).alias("label"), F.lower(F.coalesce("source_file", F.lit(""))).alias("file"), "source_location")
     at_line_one = F.col("source_location") == "L1"
     base = F.regexp_extract("file", r"[^/]*$", 0)
+
+    def step(rows: DataFrame, value: Column, key: Column, rank: int) -> DataFrame:
+        meant = rows.select(value.alias("k"), "id").groupBy("k").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+        return asked.select("name", key.alias("k")).join(meant, "k").select("name", "low", "high", F.lit(rank).alias("rank"))
+
+    key, file, bare = F.col("key"), F.col("file"), text.bare_label
+    ids = graph.nodes.select("id").withColumn("file", F.col("id"))
     parts = [
-        ("id", asked.join(graph.nodes.select("id"), (F.col("clean") == F.col("id")) | (F.col("name") == F.col("id"))).select("name", "id", F.lit(0).alias("rank"))),
-        ("label", asked.join(n, F.col("key") == F.col("label")).select("name", "id", F.lit(1))),
-        ("bare", asked.join(n, text.bare_label(F.col("key")) == text.bare_label(F.col("label"))).select("name", "id", F.lit(2))),
-        ("path", asked.join(n, F.col("key") == F.col("file")).select("name", "id", F.lit(3))),
-        ("file node", asked.join(n.where(at_line_one & (F.col("label") == base)), F.col("key") == F.col("file")).select("name", "id", F.lit(4))),
-        ("suffix node", asked.join(n.where(at_line_one & text.path_match(F.col("file"), F.col("label"))), F.col("key") == F.col("file")).select("name", "id", F.lit(5))),
-        ("first line", asked.join(n.where(at_line_one), F.col("key") == F.col("file")).select("name", "id", F.lit(6))),
-        ("named", asked.join(n.where(F.col("label") == base), F.col("key") == F.col("file")).select("name", "id", F.lit(7))),
+        ("id", step(ids, file, F.col("clean"), 0).union(step(ids, file, F.col("name"), 0))),
+        ("label", step(n, F.col("label"), key, 1)),
+        ("bare", step(n, bare(F.col("label")), bare(key), 2)),
+        ("path", step(n, file, key, 3)),
+        ("file node", step(n.where(at_line_one & (F.col("label") == base)), file, key, 4)),
+        ("suffix node", step(n.where(at_line_one & text.path_match(file, F.col("label"))), file, key, 5)),
+        ("first line", step(n.where(at_line_one), file, key, 6)),
+        ("named", step(n.where(F.col("label") == base), file, key, 7)),
     ]
     hits = None
     for _, part in parts:
         hits = part if hits is None else hits.union(part)
-    single = hits.groupBy("name", "rank").agg(F.count_distinct("id").alias("n"), F.min("id").alias("id")).where("n = 1")
-    best = single.groupBy("name").agg(F.min(F.struct("rank", "id")).alias("k")).select("name", "k.id", F.element_at(F.array(*[F.lit(h) for h, _ in parts]), F.col("k.rank") + 1).alias("how"))
-    open_ = asked.join(best.select("name"), "name", "left_anti").select("name", "key")
-    if open_.count() > 1000:
-        raise ValueError("more than 1,000 names would have to be looked for inside labels")
-    inside = n.join(F.broadcast(open_), F.contains(F.col("label"), F.col("key"))).groupBy("name").agg(F.count_distinct("id").alias("n"), F.min("id").alias("id")).where("n = 1")
+    single = hits.groupBy("name", "rank").agg(F.min("low").alias("id"), F.max("high").alias("high")).where("id = high")
+    best = table(single.groupBy("name").agg(F.min(F.struct("rank", "id")).alias("k")).select("name", "k.id", F.element_at(F.array(*[F.lit(h) for h, _ in parts]), F.col("k.rank") + 1).alias("how")))
+    inside = _inside(n, asked.join(best.select("name"), "name", "left_anti").select("name", "key"))
     return best.union(inside.select("name", "id", F.lit("contains").alias("how")))
 
 
+def _inside(labels: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, id) of names (name, key) that are part of the labels of one node only (id, label).
+
+    Of each label the pieces of the keys' first GRAM characters, or of shorter keys' own length, meet the keys that begin so
+    by an equi-join, and only those are compared; labels that several nodes have and keys that several names have are one.
+    """
+    folded = labels.groupBy("label").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    length = F.least(F.length("key"), F.lit(GRAM))
+    keys = table(names.select("key").distinct().select("key", length.alias("n"), F.expr(f"left(key, {GRAM})").alias("piece")))
+    sizes = [r["n"] for r in keys.select("n").distinct().orderBy("n").collect()]
+    if not sizes:
+        return names.select("name", F.col("key").alias("id")).limit(0)
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("label") - n + 1, F.lit(1))), lambda i: F.substring("label", i, n))
+    pieces = F.array_distinct(F.flatten(F.array(*[cut(n) for n in sizes])))
+    found = folded.select("label", "low", "high", F.explode(pieces).alias("piece")).join(keys.select("key", "piece"), "piece").where(F.contains(F.col("label"), F.col("key")))
+    single = found.groupBy("key").agg(F.min("low").alias("id"), F.max("high").alias("high")).where("id = high")
+    return names.join(single, "key").select("name", "id")
+
+
 def resolve_seed(graph: PropertyGraph, name: str) -> str | None:
     found = resolve_seeds(graph, graph.nodes.sparkSession.createDataFrame([(name,)], "name string")).collect()
     return found[0]["id"] if found else None
