@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vertexloom.functions import text
 from vertexloom.graph import PropertyGraph
 from vertexloom.operators import analytics, build, cluster, dedup, records, resolve, retrieve, traverse
-from vertexloom.sources import documents, sinks
+from vertexloom.sources import documents, sinks, tables
 from vertexloom.streaming import watch
 
 
@@ -336,3 +336,23 @@ def test_rows_in_any_order_give_the_same_answers(spark, five):
     shuffled = PropertyGraph(five.nodes.orderBy(F.desc("id")).repartition(3), five.edges.orderBy(F.desc("dst")).repartition(2))
     for ask in (analytics.god_nodes, analytics.cohesion, analytics.hub_labels, lambda g: build.dedupe_edges(g.edges), lambda g: retrieve.score(g, "build report")):
         assert sorted(map(str, ask(five).collect())) == sorted(map(str, ask(shuffled).collect()))
+
+
+def test_pairs_by_numbers_are_those_by_ids(spark, tmp_path):
+    sf = str(tmp_path)
+    some = lambda sql, name: spark.sql(sql).write.parquet(f"{sf}/{name}.parquet")
+    some("select cast(id as int) n_nationkey, 'n' n_name, cast(id % 2 as int) n_regionkey from range(4)", "nation")
+    some("select id r_regionkey, 'r' r_name from range(2)", "region")
+    some("select id c_custkey, 'c' c_name, cast(id % 4 as int) c_nationkey from range(6)", "customer")
+    some("select id s_suppkey, 's' s_name, cast(id % 4 as int) s_nationkey from range(3)", "supplier")
+    some("select id p_partkey, 'p' p_name from range(5)", "part")
+    some("select if(id = 3, null, id) o_orderkey, if(id = 5, null, id % 6) o_custkey from range(9)", "orders")
+    some("select id % 9 l_orderkey, if(id = 7, null, id % 5) l_partkey, if(id % 11 = 2, null, id % 3) l_suppkey, cast(1 as int) l_linenumber, 1.0D l_quantity, 'A' l_returnflag from range(60)", "lineitem")
+    graph = tables.star_graph_of_session(spark, sf)
+    plain = Counter(map(tuple, PropertyGraph(graph.nodes, graph.edges).pairs().collect()))
+    assert Counter(map(tuple, graph.pairs().collect())) == plain
+    retrieve.name_tiers(graph, "r").collect(), graph.degrees().collect()
+    assert (spark.sparkContext.applicationId, sf) not in tables._WRITTEN  # one look at the graph writes nothing
+    assert Counter(map(tuple, graph.settled().pairs().collect())) == plain
+    name = tables._WRITTEN[spark.sparkContext.applicationId, sf].rsplit("/", 1)[1]
+    assert all(name in f for f in graph.pairs().inputFiles())
