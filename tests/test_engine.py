@@ -356,3 +356,11 @@ def test_pairs_by_numbers_are_those_by_ids(spark, tmp_path):
     assert Counter(map(tuple, graph.settled().pairs().collect())) == plain
     name = tables._WRITTEN[spark.sparkContext.applicationId, sf].rsplit("/", 1)[1]
     assert all(name in f for f in graph.pairs().inputFiles())
+
+
+def test_diagnostics_shuffles_edges_once_and_counts_all(spark):
+    rows = [("a", "b", "calls", "f", "x"), ("a", "b", "calls", "f", "x"), ("a", "b", "uses", "g", None), ("b", "b", "uses", None, "y"), ("a", "lost", "calls", "f", "z"), ("lost", "a", "calls", "f", "z"), (None, "a", "calls", "f", "z")]
+    edges = [dict(zip(("src", "dst", "relation", "source_file", "context"), r)) for r in rows]
+    df = analytics.diagnostics(PropertyGraph.of(spark, [{"id": "a"}, {"id": "b"}], edges))
+    assert df.first().asDict() == {"exact_duplicates": 1, "parallel_groups": 1, "relation_variants": 1, "file_variants": 1, "context_variants": 0, "self_loops": 1, "largest_group": 3, "dangling": 3}
+    assert "Expand" not in df._jdf.queryExecution().executedPlan().toString()
