@@ -73,15 +73,26 @@ def by_label(nodes: DataFrame) -> DataFrame:
     return nodes.join(best, "norm_label").where("id <> survivor").select("id", "survivor")
 
 
+def _phantom(source: Column, target: Column) -> Column:
+    """Whether an edge between files is an INFERRED call across languages, an import or reference between known, different
+    ones, or an import of itself."""
+    crossing = text.cross_language(source, target)
+    phantom = crossing & (((F.col("relation") == "calls") & (F.col("confidence") == "INFERRED")) | F.col("relation").isin("references", *IMPORT_RELATIONS))
+    loop = (F.col("src") == F.col("dst")) & F.col("relation").isin(*IMPORT_RELATIONS)
+    return F.coalesce(phantom | loop, F.lit(False))
+
+
 def drop_phantoms(graph: PropertyGraph) -> DataFrame:
-    """Edges without INFERRED calls across languages, and without imports or references between known, different ones."""
-    joined = graph.edges
+    """Edges without INFERRED calls across languages, and without imports or references between known, different ones.
+
+    Only edges that may be such are joined with their ends' files; the others pass.
+    """
+    may = F.coalesce(((F.col("relation") == "calls") & (F.col("confidence") == "INFERRED")) | F.col("relation").isin("references", *IMPORT_RELATIONS), F.lit(False))
+    joined = graph.edges.where(may)
     for end in ("src", "dst"):
         joined = joined.join(graph.nodes.select(F.col("id").alias(end), F.col("source_file").alias(f"__{end}")), end, "left")
-    crossing = text.cross_language(F.col("__src"), F.col("__dst"))
-    phantom = crossing & (((F.col("relation") == "calls") & (F.col("confidence") == "INFERRED")) | F.col("relation").isin("references", *IMPORT_RELATIONS))
-    loop = (F.col("src") == F.col("dst")) & F.col("relation").isin(*IMPORT_RELATIONS)
-    return joined.where(~F.coalesce(phantom | loop, F.lit(False))).select(graph.edges.columns)
+    checked = joined.where(~_phantom(F.col("__src"), F.col("__dst"))).select(graph.edges.columns)
+    return graph.edges.where(~may).unionAll(checked)
 
 
 def backfill_sources(graph: PropertyGraph) -> DataFrame:
