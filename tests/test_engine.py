@@ -364,3 +364,13 @@ def test_diagnostics_shuffles_edges_once_and_counts_all(spark):
     df = analytics.diagnostics(PropertyGraph.of(spark, [{"id": "a"}, {"id": "b"}], edges))
     assert df.first().asDict() == {"exact_duplicates": 1, "parallel_groups": 1, "relation_variants": 1, "file_variants": 1, "context_variants": 0, "self_loops": 1, "largest_group": 3, "dangling": 3}
     assert "Expand" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_build_looks_each_end_up_once(spark):
+    nodes = [{"id": "a", "source_file": "a.py"}, {"id": "b", "source_file": "b.java"}, {"id": "c", "source_file": "c.py"}]
+    edges = [("a", "b", "calls", "INFERRED"), ("a", "c", "call", "INFERRED"), ("c", "a", "calls", "EXTRACTED"), ("a", "os", "imports", "EXTRACTED"), ("a", "gone", "calls", "EXTRACTED"), ("a", "a", "imports", "EXTRACTED")]
+    built = build.build(PropertyGraph.of(spark, nodes, [dict(zip(("src", "dst", "relation", "confidence"), e)) for e in edges]))
+    assert sorted((r.src, r.dst, r.relation, r.source_file) for r in built.edges.collect()) == [("a", "c", "calls", "a.py"), ("a", "os", "imports", "a.py")]
+    assert sorted(r.id for r in built.nodes.collect()) == ["a", "b", "c", "os"]
+    plan = built.edges._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Join " in line for line in plan.splitlines()) <= 4  # two lookups, and the stubs' one in each
