@@ -374,3 +374,9 @@ def test_build_looks_each_end_up_once(spark):
     assert sorted(r.id for r in built.nodes.collect()) == ["a", "b", "c", "os"]
     plan = built.edges._jdf.queryExecution().optimizedPlan().toString()
     assert sum("Join " in line for line in plan.splitlines()) <= 4  # two lookups, and the stubs' one in each
+
+
+def test_components_of_heavy_nodes(spark):
+    edges = [("h", f"v{i}") for i in range(50)] + [(f"v{i}", f"w{i}") for i in range(20)] + [("x", "y"), ("y", "z")]
+    got = {tuple(r) for r in traverse.components(spark.createDataFrame(edges, "u string, v string"), heavy=10).collect()}
+    assert got == {(f"v{i}", "h") for i in range(50)} | {(f"w{i}", "h") for i in range(20)} | {("y", "x"), ("z", "x")}
