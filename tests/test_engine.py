@@ -380,3 +380,14 @@ def test_components_of_heavy_nodes(spark):
     edges = [("h", f"v{i}") for i in range(50)] + [(f"v{i}", f"w{i}") for i in range(20)] + [("x", "y"), ("y", "z")]
     got = {tuple(r) for r in traverse.components(spark.createDataFrame(edges, "u string, v string"), heavy=10).collect()}
     assert got == {(f"v{i}", "h") for i in range(50)} | {(f"w{i}", "h") for i in range(20)} | {("y", "x"), ("z", "x")}
+
+
+def test_bridge_nodes_follow_from_every_pivot(spark):
+    star = graph(spark, {"hub": {"community": 0}} | {f"v{i}": {"community": 1} for i in range(1100)}, [("hub", f"v{i}", "calls") for i in range(1100)])
+    assert [tuple(r) for r in analytics.bridge_nodes(star).collect()] == [("hub", 1100 * 1099 / 2)]
+    rng = random.Random(3)
+    small = graph(spark, {f"v{i}": 0 for i in range(9)}, [(*rng.sample([f"v{k}" for k in range(9)], 2), "calls") for _ in range(12)])
+    expected = {r.id: round(r.score, 9) for r in cluster.betweenness(small).collect()}
+    assert {r.id: round(r.score, 9) for r in cluster.exact_betweenness(small).collect()} == expected
+    whole = cluster.exact_betweenness(small, held=0)  # batches through written tables
+    assert {r.id: round(r.score, 9) for r in whole.collect()} == expected
