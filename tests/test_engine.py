@@ -4,12 +4,13 @@ import itertools
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from vertexloom.functions import text
 from vertexloom.graph import PropertyGraph
-from vertexloom.operators import analytics, build, cluster, dedup, records, resolve, retrieve, traverse
+from vertexloom.operators import analytics, build, cluster, dedup, moves, records, resolve, retrieve, traverse
 from vertexloom.sources import documents, sinks, tables
 from vertexloom.streaming import watch
 
@@ -391,3 +392,17 @@ def test_bridge_nodes_follow_from_every_pivot(spark):
     assert {r.id: round(r.score, 9) for r in cluster.exact_betweenness(small).collect()} == expected
     whole = cluster.exact_betweenness(small, held=0)  # batches through written tables
     assert {r.id: round(r.score, 9) for r in whole.collect()} == expected
+
+
+def test_communities_by_numbers_are_those_by_joins(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(150)}
+    pairs = spark.createDataFrame([(f"v{min(a, b)}", f"v{max(a, b)}", rng.randint(1, 50) / 50) for a, b in rows], "a string, b string, w double")
+    ids = spark.createDataFrame([(f"v{i}",) for i in range(200)], "id string").select(F.xxhash64("id").alias("h"), F.expr("pmod(xxhash64(id, 7), 2)").alias("bit")).collect()
+    assert moves.hash_bit(np.array([r.h for r in ids]), 7).tolist() == [r.bit for r in ids]
+    by = lambda labels: {r.id: r.community for r in labels.collect()}
+    joined = by(cluster._partition(pairs, held=0))
+    assert by(cluster._partition(pairs)) == joined and len(set(joined.values())) > 2
+    monkeypatch.setattr(moves, "HELD_ENDS", 0)  # blocks in tasks
+    monkeypatch.setattr(moves, "BLOCK_ENDS", 40)
+    assert by(cluster._partition(pairs)) == joined
