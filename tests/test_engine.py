@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from vertexloom.functions import text
 from vertexloom.graph import PropertyGraph
 from vertexloom.operators import analytics, build, cluster, dedup, moves, records, resolve, retrieve, traverse
+from vertexloom.plans import queries
 from vertexloom.sources import documents, sinks, tables
 from vertexloom.streaming import watch
 
@@ -406,3 +407,10 @@ def test_communities_by_numbers_are_those_by_joins(spark, monkeypatch):
     monkeypatch.setattr(moves, "HELD_ENDS", 0)  # blocks in tasks
     monkeypatch.setattr(moves, "BLOCK_ENDS", 40)
     assert by(cluster._partition(pairs)) == joined
+
+
+def test_modules_of_a_small_file_are_dealt_to_all_tasks(spark, tmp_path):
+    rows = [(k, 3) for k in range(200)]
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey int").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    found = queries.extracted_code(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and found.count() == 6 * len(rows)

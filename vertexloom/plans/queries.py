@@ -1202,5 +1202,7 @@ def extracted_code(spark, sf):
     """A Python module of each customer."""
     lines = ("from pkg.m%d import x  # helper()", "class C%d(Base%d):", '    """def no(): no()"""', "    def go(self):", "        return helper(x) + other()", "", "def helper():", "    pass", "")
     body = "\n".join(lines)
-    rows = read(spark, sf, "customer").select(F.expr("'m/' || c_custkey || '.py'").alias("path"), F.format_string(body, F.col("c_custkey") % 7, "c_custkey", "c_nationkey").alias("text"))
+    # a small file is one task's, and its modules are many times its size: customers are dealt out before modules are written
+    dealt = read(spark, sf, "customer").select("c_custkey", "c_nationkey").repartition(8 * spark.sparkContext.defaultParallelism, "c_custkey")
+    rows = dealt.select(F.expr("'m/' || c_custkey || '.py'").alias("path"), F.format_string(body, F.col("c_custkey") % 7, "c_custkey", "c_nationkey").alias("text"))
     return documents.extract(rows)
