@@ -414,3 +414,12 @@ def test_modules_of_a_small_file_are_dealt_to_all_tasks(spark, tmp_path):
     spark.createDataFrame(rows, "c_custkey long, c_nationkey int").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
     found = queries.extracted_code(spark, str(tmp_path))
     assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and found.count() == 6 * len(rows)
+
+
+def test_collapse_shuffles_edges_once(spark):
+    rows = [("a", "b", "calls"), ("b", "a", "calls"), ("a", "b", "uses"), ("a", "b", "calls"), ("c", "c", "uses")]
+    g = graph(spark, dict.fromkeys("abc", 0), rows)
+    for directed, kept in ((False, [("a", "b"), ("c", "c")]), (True, [("a", "b"), ("b", "a"), ("c", "c")])):
+        found = build.collapse_pairs(g.edges, directed)
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        assert sorted((r.src, r.dst) for r in found.collect()) == kept

@@ -59,11 +59,12 @@ def dedupe_nodes(nodes: DataFrame) -> DataFrame:
     return kept.select("id", "row.*", "ord").select(nodes.columns)
 
 
-def dedupe_edges(edges: DataFrame) -> DataFrame:
-    """One row for each (src, dst, relation): the first written, rows of one place by their values; type-only if all are."""
-    columns = [c for c in edges.columns if c not in ("src", "dst", "relation", "type_only", "ord")]
-    kept = edges.groupBy("src", "dst", "relation").agg(F.min(F.struct(F.col("ord").alias("__at"), *columns)).alias("row"), F.bool_and(F.coalesce("type_only", F.lit(False))).alias("type_only"), F.min("ord").alias("ord"))
-    return kept.select("src", "dst", "relation", "row.*", "type_only", "ord").select(edges.columns)
+def dedupe_edges(edges: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each (src, dst, relation): the first written, rows of one place by their values; type-only if all are.
+    `within` are columns that follow from the ends, by which rows already lie together."""
+    columns = [c for c in edges.columns if c not in ("src", "dst", "relation", "type_only", "ord", *within)]
+    kept = edges.groupBy(*within, "src", "dst", "relation").agg(F.min(F.struct(F.col("ord").alias("__at"), *columns)).alias("row"), F.bool_and(F.coalesce("type_only", F.lit(False))).alias("type_only"), F.min("ord").alias("ord"))
+    return kept.select(*within, "src", "dst", "relation", "row.*", "type_only", "ord").select(edges.columns)
 
 
 def by_label(nodes: DataFrame) -> DataFrame:
@@ -151,10 +152,16 @@ def collapse_pairs(edges: DataFrame, directed: bool = False, deduped: bool = Fal
     Undirected graphs drop a reversed edge of the same relation. Membership beats reverse calls, a generic relation never
     replaces a specific one, and within a relation the higher confidence, then a location, then the higher score wins;
     else the later edge does. After dedupe_edges a pair holds at most one edge a direction and relation, so a group is
-    as small as the vocabulary, and pairs of one edge aren't folded at all. Edges that are `deduped` already stay as they are.
+    as small as the vocabulary, and pairs of one edge aren't folded at all. Edges that are `deduped` already stay as they are;
+    others are shuffled once, by their pairs, for both.
     """
     ends = ["src", "dst"] if directed else ["a", "b"]
-    keyed = (edges if deduped else dedupe_edges(edges)).withColumns({"a": F.least("src", "dst"), "b": F.greatest("src", "dst")})
+    pair = {"a": F.least("src", "dst"), "b": F.greatest("src", "dst")}
+    if deduped:
+        keyed = edges.withColumns(pair)
+    else:
+        keyed = edges.repartition(*([F.col("src"), F.col("dst")] if directed else pair.values())).withColumns(pair)
+        keyed = dedupe_edges(keyed, () if directed else ("a", "b"))
     fields = [c for c in edges.columns]
     row = F.struct("src", "dst", "relation", *[c for c in fields if c not in ("src", "dst", "relation")])
     groups = keyed.groupBy(*ends).agg(F.array_sort(F.collect_list(row)).alias("rows"))

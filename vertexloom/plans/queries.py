@@ -676,7 +676,9 @@ def dedupe_nodes(spark, sf):
 
 @query("SELECT src, dst, relation, confidence, min(ord) OVER (PARTITION BY src, dst, relation) AS ord FROM edges QUALIFY row_number() OVER (PARTITION BY src, dst, relation ORDER BY ord, confidence, weight) = 1", star=True)
 def collapse_pairs(spark, sf):
-    return build.collapse_pairs(star_graph(spark, sf).edges).select("src", "dst", "relation", "confidence", "ord")
+    # of a star edge's values, confidence alone orders rows of one place, and there are no scores and locations
+    edges = star_graph(spark, sf).edges.select("src", "dst", "relation", "confidence", "confidence_score", "source_location", "type_only", "ord")
+    return build.collapse_pairs(edges).select("src", "dst", "relation", "confidence", "ord")
 
 
 @query()
