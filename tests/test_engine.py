@@ -423,3 +423,12 @@ def test_collapse_shuffles_edges_once(spark):
         found = build.collapse_pairs(g.edges, directed)
         assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
         assert sorted((r.src, r.dst) for r in found.collect()) == kept
+
+
+def test_sources_are_looked_up_for_edges_that_lack_them(spark):
+    g = PropertyGraph.of(spark, [{"id": "a", "source_file": "a.py"}, {"id": "b", "source_file": ""}, {"id": "c", "source_file": "c.py"}, {"id": "c", "source_file": "c2.py"}], [
+        {"src": s, "dst": d, "relation": "calls", "source_file": f} for s, d, f in (("a", "c", None), ("b", "a", ""), ("b", "b", None), (None, "a", ""), ("x", "y", ""), ("c", "c", "own.py"))
+    ])
+    got = sorted((str(r.src), r.dst, r.source_file) for r in build.backfill_sources(g).collect())
+    # an edge with a file of its own isn't repeated for each node of its ends' ids
+    assert got == [("None", "a", "a.py"), ("a", "c", "a.py"), ("b", "a", "a.py"), ("b", "b", ""), ("c", "c", "own.py"), ("x", "y", "")]

@@ -97,12 +97,18 @@ def drop_phantoms(graph: PropertyGraph) -> DataFrame:
 
 
 def backfill_sources(graph: PropertyGraph) -> DataFrame:
-    """Edges whose empty source_file comes from the source node, then the target, then is ''."""
-    joined = graph.edges
-    for end in ("src", "dst"):
-        joined = joined.join(graph.nodes.select(F.col("id").alias(end), F.col("source_file").alias(f"__{end}")), end, "left")
-    filled = F.coalesce(*[F.when(F.col(c) != "", F.col(c)) for c in ("source_file", "__src", "__dst")], F.lit(""))
-    return joined.withColumn("source_file", filled).select(graph.edges.columns)
+    """Edges whose empty source_file comes from the source node, then the target, then is ''.
+
+    Only edges that lack one meet the nodes, and the targets' only those whose source has none to give.
+    """
+    columns = graph.edges.columns
+    empty = F.coalesce(F.col("source_file"), F.lit("")) == ""
+    file = lambda end: graph.nodes.select(F.col("id").alias(end), F.coalesce("source_file", F.lit("")).alias("__file"))
+    own = graph.edges.where(empty & F.col("src").isNotNull()).join(file("src"), "src", "left")
+    found = own.where("__file <> ''").withColumn("source_file", F.col("__file")).select(columns)
+    rest = own.where("__file is null or __file = ''").select(columns).unionAll(graph.edges.where(empty & F.col("src").isNull()))
+    filled = rest.join(file("dst"), "dst", "left").withColumn("source_file", F.coalesce("__file", F.lit(""))).select(columns)
+    return graph.edges.where(~empty).unionAll(found).unionAll(filled)
 
 
 def mint_stubs(graph: PropertyGraph) -> PropertyGraph:
