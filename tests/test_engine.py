@@ -432,3 +432,12 @@ def test_sources_are_looked_up_for_edges_that_lack_them(spark):
     got = sorted((str(r.src), r.dst, r.source_file) for r in build.backfill_sources(g).collect())
     # an edge with a file of its own isn't repeated for each node of its ends' ids
     assert got == [("None", "a", "a.py"), ("a", "c", "a.py"), ("b", "a", "a.py"), ("b", "b", ""), ("c", "c", "own.py"), ("x", "y", "")]
+
+
+def test_small_and_large_frontiers_reach_the_same(spark):
+    rng = random.Random(3)
+    edges = spark.createDataFrame([(f"v{rng.randrange(80)}", f"v{rng.randrange(80)}") for _ in range(160)], "src string, dst string")
+    start, allowed = spark.createDataFrame([("v1",)], "id string"), spark.createDataFrame([(f"v{i}",) for i in range(0, 80, 2)], "id string")
+    for some in (None, allowed):
+        small, large = (sorted(map(tuple, traverse.expand(edges, start, 4, some, small=n).collect())) for n in (80, 0))
+        assert small == large and len({hop for _, hop in small}) > 2
