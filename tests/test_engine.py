@@ -441,3 +441,13 @@ def test_small_and_large_frontiers_reach_the_same(spark):
     for some in (None, allowed):
         small, large = (sorted(map(tuple, traverse.expand(edges, start, 4, some, small=n).collect())) for n in (80, 0))
         assert small == large and len({hop for _, hop in small}) > 2
+
+
+def test_entropy_is_asked_of_labels_and_not_of_nodes(spark):
+    rows = [{"id": f"e{i:03d}", "label": ("ring of iron", "aaa", "bolt of brass")[i % 3], "file_type": "concept", "source_file": f"{i}.md"} for i in range(300)]
+    nodes = PropertyGraph.of(spark, rows, []).nodes
+    exact = dedup.exact_pairs(nodes)
+    lines = exact._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    asked = [i for i, line in enumerate(lines) if "log2" in line.lower()]
+    assert asked and all("Aggregate" in lines[i + 1] for i in asked)
+    assert {(r.id, r.survivor) for r in dedup.merges(nodes).collect()} == {(f"e{i:03d}", f"e{i % 3:03d}") for i in range(3, 300) if i % 3 != 1}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -70,11 +71,16 @@ def dedup_norm(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\p{M}]+", " "))
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once a row however often it is used, in functions over array elements too."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def entropy(text: Column) -> Column:
     """Bits per character; 0 for an empty text."""
     chars = F.filter(F.split(text, ""), lambda c: c != "")
-    share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / F.size(chars)
-    return F.when(F.length(text) > 0, F.aggregate(F.array_sort(F.array_distinct(chars)), F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c)))).otherwise(F.lit(0.0))
+    shares = bound(chars, lambda cs: F.transform(F.array_sort(F.array_distinct(cs)), lambda c: F.size(F.filter(cs, lambda x: x == c)) / F.size(cs)))
+    return F.when(F.length(text) > 0, F.aggregate(shares, F.lit(0.0), lambda a, share: a - share * F.log2(share))).otherwise(F.lit(0.0))
 
 
 def shingles(text: Column, k: int = 3) -> Column:

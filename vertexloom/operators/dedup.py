@@ -161,6 +161,12 @@ def _entities(nodes: DataFrame) -> DataFrame:
     return nodes.where("file_type <> 'code'").withColumn("key", key).where("key <> ''")
 
 
+def _informative(groups: DataFrame) -> DataFrame:
+    """Groups whose label has enough entropy, a costly function: label is an aggregate, since a condition on what is grouped
+    by would move below the grouping and be asked of every node."""
+    return groups.where(text.entropy(F.col("label")) >= LEAST_ENTROPY).drop("label")
+
+
 def exact_pairs(nodes: DataFrame) -> DataFrame:
     """(id, other): entities of one normalised label, each linked to its group's least id.
 
@@ -170,8 +176,8 @@ def exact_pairs(nodes: DataFrame) -> DataFrame:
     rows = _entities(nodes)
     heads = rows.where("source_file <> ''").groupBy("key", "source_file").agg(F.min("id").alias("other"))
     same_file = rows.join(heads, ["key", "source_file"]).where("id <> other").select("id", "other")
-    concepts = rows.where((F.col("file_type") == "concept") & (text.entropy(F.col("key")) >= LEAST_ENTROPY))
-    heads = concepts.groupBy("key").agg(F.min("id").alias("other"))
+    concepts = rows.where("file_type = 'concept'")
+    heads = _informative(concepts.groupBy("key").agg(F.min("id").alias("other"), F.min("key").alias("label")))
     return same_file.union(concepts.join(heads, "key").where("id <> other").select("id", "other")).distinct()
 
 
