@@ -451,3 +451,13 @@ def test_entropy_is_asked_of_labels_and_not_of_nodes(spark):
     asked = [i for i, line in enumerate(lines) if "log2" in line.lower()]
     assert asked and all("Aggregate" in lines[i + 1] for i in asked)
     assert {(r.id, r.survivor) for r in dedup.merges(nodes).collect()} == {(f"e{i:03d}", f"e{i % 3:03d}") for i in range(3, 300) if i % 3 != 1}
+
+
+def test_labels_of_other_numbers_never_meet(spark):
+    labels = [f"station {i} manual of the pump{x}" for i in ("7", "07", "8", "٧", "70", "7 0", "000", "0") for x in ("", "s")] + ["station manual of the pump", "12 12 x", "12 x"]
+    frame = spark.createDataFrame([(x,) for x in labels], "key string")
+    shown = dict(frame.select("key", dedup.numbers(F.col("key"))).collect())
+    assert all((shown[a] != shown[b]) == dedup.numbers_differ(a, b) for a, b in itertools.combinations(labels, 2))
+    every = {tuple(r) for r in dedup.candidate_pairs(frame).collect()}
+    met = {tuple(r) for r in dedup.candidate_pairs(frame, dedup.numbers(F.col("key"))).collect()}
+    assert met == {p for p in every if not dedup.numbers_differ(*p)} and len(met) < len(every)

@@ -183,43 +183,52 @@ def exact_pairs(nodes: DataFrame) -> DataFrame:
 
 def signatures(labels: DataFrame, key: str = "key") -> DataFrame:
     """labels with bands: (band number, digest) of the minima of PERMUTATIONS seeded hashes over character shingles."""
-    minima = F.transform(F.sequence(F.lit(0), F.lit(PERMUTATIONS - 1)), lambda i: F.array_min(F.transform(text.shingles(F.col(key)), lambda s: F.xxhash64(s, i))))
+    minima = text.bound(text.shingles(F.col(key)), lambda runs: F.transform(F.sequence(F.lit(0), F.lit(PERMUTATIONS - 1)), lambda i: F.array_min(F.transform(runs, lambda s: F.xxhash64(s, i)))))
     n = PERMUTATIONS // BAND_ROWS
     signed = labels.withColumn("minima", minima)
     bands = F.array(*[F.struct(F.lit(k).alias("band"), F.xxhash64(*[F.col("minima")[k * BAND_ROWS + j] for j in range(BAND_ROWS)]).alias("digest")) for k in range(n)])
     return signed.withColumn("bands", bands).drop("minima")
 
 
-def candidate_pairs(labels: DataFrame) -> DataFrame:
-    """(a, b): all labels of a common band, each pair once.
+def numbers(key: Column) -> Column:
+    """What numbers_differ compares, as one text."""
+    runs = F.transform(F.regexp_extract_all(key, F.lit(r"(\p{Nd}+)"), F.lit(1)), lambda n: F.regexp_replace(n, "^0+(?!$)", ""))
+    return F.array_join(F.array_sort(runs), " ")
+
+
+def candidate_pairs(labels: DataFrame, alike: Column | None = None) -> DataFrame:
+    """(a, b): all labels of a common band, each pair once; of those only pairs that agree in `alike`, a function of the key.
 
     A bucket is split into blocks of about BLOCK labels by a hash; each block meets every label of its bucket in a group of
     its own, so a large bucket's pairs spread over tasks.
     """
-    spread = checkpoint(signatures(labels.select("key").distinct()).select("key", F.inline("bands")))
-    counts = spread.groupBy("band", "digest").agg(F.count("*").alias("n")).where("n > 1")
-    rows = spread.join(counts, ["band", "digest"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    own = rows.select("band", "digest", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), F.col("key").alias("a"))
-    every = rows.select("band", "digest", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("key").alias("b"))
-    return own.join(every, ["band", "digest", "block"]).where("a < b").select("a", "b").distinct()
+    tasks = SPREAD * labels.sparkSession.sparkContext.defaultParallelism
+    own = labels.select("key").distinct().repartition(tasks, "key").withColumn("alike", F.lit("") if alike is None else alike)
+    bucket = ["band", "digest", "alike"]
+    spread = table(signatures(own).select("key", "alike", F.inline("bands")))
+    counts = spread.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1")
+    rows = spread.join(counts, bucket).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    own = rows.select(*bucket, F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), F.col("key").alias("a"))
+    every = rows.select(*bucket, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("key").alias("b"))
+    return own.join(every, [*bucket, "block"]).where("a < b").select("a", "b").distinct()
 
 
 def fuzzy_pairs(nodes: DataFrame) -> DataFrame:
     """(id, other, score): representatives of similar labels, by MinHash candidates and string similarity.
 
-    Pairs whose lengths alone keep Jaro-Winkler under the ambiguous band aren't compared. Kinds that belong to their file
-    have no partner in another one.
+    Pairs whose lengths alone keep Jaro-Winkler under the ambiguous band aren't compared, nor those with other numbers, which
+    score 0. Kinds that belong to their file have no partner in another one.
     """
-    rows = _entities(nodes).where(text.entropy(F.col("key")) >= LEAST_ENTROPY)
-    reps = checkpoint(rows.groupBy("key").agg(F.min_by(F.struct("id", "source_file", "community", "file_type"), F.col("ord")).alias("r")))
+    reps = table(_informative(_entities(nodes).groupBy("key").agg(F.min_by(F.struct("id", "source_file", "community", "file_type"), F.col("ord")).alias("r"), F.min("key").alias("label"))))
     short, long = F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b"))
     # Jaro is at most (1 + short / long + 1) / 3, and the prefix bonus takes at most 0.4 of what is missing
     jaro_bound = (F.lit(2.0) + short / long) / 3
-    pairs = candidate_pairs(reps).where(100 * (jaro_bound + 0.4 * (1 - jaro_bound)) + 5 >= AMBIGUOUS)
+    pairs = candidate_pairs(reps, numbers(F.col("key"))).where(100 * (jaro_bound + 0.4 * (1 - jaro_bound)) + 5 >= AMBIGUOUS)
     joined = pairs.join(reps.select(F.col("key").alias("a"), F.col("r").alias("ra")), "a").join(reps.select(F.col("key").alias("b"), F.col("r").alias("rb")), "b")
     crossing = F.coalesce(F.col("ra.source_file") != F.col("rb.source_file"), F.lit(True))
     anchored = F.col("ra.file_type").isin(*FILE_ANCHORED) | F.col("rb.file_type").isin(*FILE_ANCHORED)
-    joined = joined.where(~(crossing & F.coalesce(anchored, F.lit(False))))
+    # the pairs' bytes say little of the work on each
+    joined = joined.where(~(crossing & F.coalesce(anchored, F.lit(False)))).repartition(SPREAD * nodes.sparkSession.sparkContext.defaultParallelism, "a", "b")
     score = similarity(F.col("a"), F.col("b"), crossing)
     close = F.coalesce(F.col("ra.community") == F.col("rb.community"), F.lit(False)) & (short >= LONG_LABEL)
     raised = joined.withColumn("score", score).where("score > 0").withColumn("score", F.col("score") + F.when(close, 5.0).otherwise(0.0))
