@@ -461,3 +461,52 @@ def test_labels_of_other_numbers_never_meet(spark):
     every = {tuple(r) for r in dedup.candidate_pairs(frame).collect()}
     met = {tuple(r) for r in dedup.candidate_pairs(frame, dedup.numbers(F.col("key"))).collect()}
     assert met == {p for p in every if not dedup.numbers_differ(*p)} and len(met) < len(every)
+
+
+def _surprises_by_hand(nodes, edges, top_n):
+    families, found = {"py": "python", "java": "jvm", "ts": "js"}, []
+    linked = {tuple(sorted(e[:2])) for e in edges}
+    degree = {n["id"]: sum((n["id"] == a) + (n["id"] == b) for a, b in linked) for n in nodes}
+    kept = [n for n in nodes if "." in n["source_file"].split("/")[-1] and not (n["label"].endswith("()") and degree[n["id"]] <= 1)]
+    for src, dst, relation, confidence, place in edges:
+        if relation == "contains" or src == dst:
+            continue
+        for u, v in itertools.product((n for n in kept if n["id"] == src), (n for n in kept if n["id"] == dst)):
+            (x, y), (du, dv) = ((n["source_file"].rsplit(".")[-1] for n in (u, v)), (degree[src], degree[dst]))
+            if u["source_file"] == v["source_file"]:
+                continue
+            other = (x == "md") != (y == "md")
+            hidden = confidence == "INFERRED" and relation in ("calls", "uses") and (other or len({families.get(x), families.get(y), None}) == 3)
+            apart = (u["repo"], u["source_file"].split("/")[0]) != (v["repo"], v["source_file"].split("/")[0])
+            score = 0 if hidden else {"AMBIGUOUS": 3, "INFERRED": 2}.get(confidence, 1) + 2 * other + 2 * apart + (u["community"] != v["community"])
+            score = score * 3 // 2 if relation == "semantically_similar_to" else score
+            found.append((src, dst, relation, score + (min(du, dv) <= 2 and max(du, dv) >= 5), place))
+    return sorted(found, key=lambda r: (-r[3], r[4] is not None, r[4] or 0, *r[:3]))[:top_n]
+
+
+@pytest.mark.parametrize(("seed", "few", "listed", "top_n"), [(1, 0, 9, 10), (2, 8, 0, 10), (3, 40, 9, 5), (4, 40, 0, 1), (5, 100_000, 9, 10**6)])
+def test_surprises_by_bounds_are_those_of_all_edges(spark, monkeypatch, seed, few, listed, top_n):
+    monkeypatch.setattr(analytics, "LISTED", listed)
+    rng = random.Random(seed)
+    nodes = [{
+        "id": f"v{i}", "label": f"v{i}" + rng.choice(("", "", "()")), "repo": rng.choice("ab"), "community": rng.randrange(3),
+        "source_file": f"{rng.choice('st')}/f{rng.randrange(4)}.{rng.choice(('py', 'py', 'ts', 'java')) if i % 9 else 'md'}",
+    } for i in range(60)]
+    nodes.append(nodes[9] | {"source_file": "s/again.py"})  # an id of a rarer category and of a common one
+    end = lambda: f"v{rng.choice((0, 1, 2, rng.randrange(62), rng.randrange(62), rng.randrange(62)))}"
+    relations, levels = ("uses", "calls", "references", "contains", "semantically_similar_to"), ("AMBIGUOUS", "INFERRED", "EXTRACTED", None)
+    edges = [(end(), end(), rng.choice(relations), rng.choice(levels), rng.choice((i, i, i, i // 9, None))) for i in range(150)]
+    g = PropertyGraph.of(spark, nodes, spark.createDataFrame(edges, "src string, dst string, relation string, confidence string, ord long"))
+    # an id of two nodes has two degrees of each
+    want = _surprises_by_hand(nodes + [n for n in nodes if n["id"] == "v9"], edges, top_n)
+    assert [tuple(r) for r in analytics.surprises(g, top_n, few).collect()] == want
+
+
+def test_surprises_ask_few_edges_and_not_all_degrees(spark, monkeypatch):
+    nodes = spark.range(4000).selectExpr("concat('v', id) AS id", "concat('v', id) AS label", "concat('s/', id % 7, if(id % 500 = 0, '.md', '.py')) AS source_file", "'a' AS repo", "int(id % 3) AS community")
+    edges = spark.range(12000).selectExpr("concat('v', id % 4000) AS src", "concat('v', (id * 7 + 1) % 4000) AS dst", "'references' AS relation", "if(id % 5 = 0, 'AMBIGUOUS', 'EXTRACTED') AS confidence", "id AS ord")
+    monkeypatch.setattr(PropertyGraph, "degrees", lambda self: pytest.fail("degrees of all nodes"))
+    joined, scores = [], analytics._least_scores
+    monkeypatch.setattr(analytics, "_least_scores", lambda rows, ends: joined.append(rows.count()) or scores(rows, ends), raising=False)
+    assert analytics.surprises(PropertyGraph.of(spark, nodes, edges), few=200).count() == 10
+    assert joined and sum(joined) < 3000  # of 12,000 edges

@@ -94,9 +94,13 @@ def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"[^/]\.([^./]*)$", 1))
 
 
-def language_family(path: Column) -> Column:
+def family_of(ext: Column) -> Column:
     pairs = [F.lit(x) for family, names in LANGUAGE_FAMILIES.items() for name in names.split() for x in (name, family)]
-    return F.element_at(F.create_map(*pairs), suffix(path))
+    return F.element_at(F.create_map(*pairs), ext)
+
+
+def language_family(path: Column) -> Column:
+    return family_of(suffix(path))
 
 
 def cross_language(a: Column, b: Column) -> Column:
@@ -104,11 +108,14 @@ def cross_language(a: Column, b: Column) -> Column:
     return F.coalesce(language_family(a) != language_family(b), F.lit(False))
 
 
-def file_category(path: Column) -> Column:
-    ext = suffix(path)
+def category_of(ext: Column) -> Column:
     return F.when(ext.isin(_CODE.split()), "code").when(ext.isin(_PAPER.split()), "paper").when(ext.isin(_IMAGE.split()), "image").otherwise("doc")
 
 
+def file_category(path: Column) -> Column:
+    return category_of(suffix(path))
+
+
 def top_dir(path: Column) -> Column:
     clean = F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"^(\./)+", "")
     return F.when(F.contains(clean, F.lit("/")), F.substring_index(clean, "/", 1)).otherwise(".")

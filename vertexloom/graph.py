@@ -64,6 +64,15 @@ class PropertyGraph:
         counted = ends.groupBy("id").agg(F.count("*").alias("degree"))
         return self.nodes.select("id").join(counted, "id", "left").select("id", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
 
+    def degrees_of(self, ids: DataFrame) -> DataFrame:
+        """degrees() of the nodes among ids (id), each once and few enough to broadcast; only edges that touch one are told apart."""
+        among = lambda c: F.broadcast(ids.select(F.col("id").alias(c), F.lit(True).alias(f"has_{c}")))
+        links = self.written_pairs if self.written_pairs is not None else self.edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+        near = links.join(among("a"), "a", "left").join(among("b"), "b", "left").where("has_a or has_b").select("a", "b").distinct()
+        counted = near.select(F.explode(F.array("a", "b")).alias("id")).join(F.broadcast(ids), "id", "left_semi").groupBy("id").agg(F.count("*").alias("degree"))
+        nodes = self.nodes.select("id").join(F.broadcast(ids), "id", "left_semi")
+        return nodes.join(counted, "id", "left").select("id", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
+
     def with_context(self, contexts: list[str]) -> PropertyGraph:
         """Edges of the given contexts; all nodes stay."""
         return PropertyGraph(self.nodes, self.edges.where(F.col("context").isin(contexts)), self.hyperedges) if contexts else self

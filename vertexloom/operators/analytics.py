@@ -126,28 +126,144 @@ def tree_rollup(graph: PropertyGraph) -> DataFrame:
     return rows.groupBy("path", "parent", "depth").agg(F.sum("count").alias("leaves"))
 
 
-def surprises(graph: PropertyGraph, top_n: int = 10) -> DataFrame:
-    """(src, dst, relation, score, ord): cross-file edges between entities by how little they are to be expected."""
-    # structural edges and entities that don't count go before anything is joined; an end carries only what is scored
-    fields = F.struct("label", "source_file", "repo", "community", "degree")
-    rows = graph.nodes.where("source_file <> ''").join(graph.degrees(), "id")
-    rows = rows.where(~is_file_node(F.col("label"), F.col("source_file"), F.col("degree")) & ~is_concept_node(F.col("source_file")))
-    rows = rows.select("id", fields.alias("v"))
-    edges = graph.edges.where(~F.col("relation").isin(*STRUCTURAL_RELATIONS) & (F.col("src") != F.col("dst"))).select("src", "dst", "relation", "confidence", "ord")
-    edges = edges.join(rows.select(F.col("id").alias("src"), F.col("v").alias("u")), "src").join(rows.select(F.col("id").alias("dst"), "v"), "dst")
-    su, sv = F.coalesce("u.source_file", F.lit("")), F.coalesce("v.source_file", F.lit(""))
-    edges = edges.where(su != sv)
+#: Ids of rarer categories that are compared as a list; more are broadcast.
+LISTED = 1000
+
+
+def _scored_ends(nodes: DataFrame) -> DataFrame:
+    """(id, v): the nodes whose edges may surprise, with what is scored of them; stubs still depend on their degree."""
+    label, path = F.col("label"), F.col("source_file")
+    rows = nodes.where((path != "") & ~is_file_node(label, path, F.lit(2)) & ~is_concept_node(path)).withColumn("ext", text.suffix(path))
+    stub = F.coalesce(F.endswith(label, F.lit("()")), F.lit(False)).alias("stub")
+    v = F.struct("source_file", "repo", "community", text.category_of(F.col("ext")).alias("category"), text.family_of(F.col("ext")).alias("family"), text.top_dir(path).alias("dir"), stub)
+    return rows.select("id", v.alias("v"))
+
+
+def _least_scores(edges: DataFrame, ends: DataFrame) -> DataFrame:
+    """Edges between ends of different files, each with the stubs among its ends and the score that no degree has added to."""
+    edges = edges.where("src <> dst").join(ends.select(F.col("id").alias("src"), F.col("v").alias("u")), "src").join(ends.select(F.col("id").alias("dst"), "v"), "dst")
+    edges = edges.where("u.source_file <> v.source_file")
+    cu, cv = F.col("u.category"), F.col("v.category")
+    foreign = F.coalesce(F.col("u.family") != F.col("v.family"), F.lit(False)) | ((cu == "code") & (cv == "doc")) | ((cu == "doc") & (cv == "code"))
+    resolver = (F.col("base") == 2) & F.col("relation").isin("calls", "uses") & foreign
+    place = ~(F.col("u.repo").eqNullSafe(F.col("v.repo")) & (F.col("u.dir") == F.col("v.dir")))
+    apart = F.coalesce(F.col("u.community") != F.col("v.community"), F.lit(False))
+    score = F.when(resolver, 0).otherwise(F.col("base") + (cu != cv).cast("int") * 2 + place.cast("int") * 2 + apart.cast("int"))
+    score = F.when(F.col("relation") == "semantically_similar_to", F.floor(score * 1.5)).otherwise(score).cast("long")
+    return edges.select("src", "dst", "relation", "ord", score.alias("least"), F.col("u.stub").alias("stub_u"), F.col("v.stub").alias("stub_v"))
+
+
+def _scores(edges: DataFrame, degrees: DataFrame) -> DataFrame:
+    """(src, dst, relation, score, ord) of the edges of _least_scores, without stubs of a single edge."""
+    edges = edges.join(degrees.select(F.col("id").alias("src"), F.col("degree").alias("du")), "src").join(degrees.select(F.col("id").alias("dst"), F.col("degree").alias("dv")), "dst")
+    edges = edges.where("not (stub_u and du <= 1) and not (stub_v and dv <= 1)")
+    hub = ((F.least("du", "dv") <= 2) & (F.greatest("du", "dv") >= 5)).cast("int")
+    return edges.select("src", "dst", "relation", (F.col("least") + hub).alias("score"), "ord")
+
+
+def _bounded(graph: PropertyGraph, few: int) -> DataFrame:
+    """(src, dst, relation, ord, base, bound) of the edges that may surprise; none scores more than its bound.
+
+    The bound leaves out the points for different categories where no end is of a rarer category than most nodes are.
+    """
     confidence = F.coalesce("confidence", F.lit("EXTRACTED"))
-    cu, cv = text.file_category(su), text.file_category(sv)
-    resolver = (confidence == "INFERRED") & F.col("relation").isin("calls", "uses") & (text.cross_language(su, sv) | ((cu == "code") & (cv == "doc")) | ((cu == "doc") & (cv == "code")))
-    one = lambda c, n: F.when(c & ~resolver, F.lit(n)).otherwise(F.lit(0))
-    base = F.when(resolver, 0).when(confidence == "AMBIGUOUS", 3).when(confidence == "INFERRED", 2).otherwise(1)
-    place = ~(F.col("u.repo").eqNullSafe(F.col("v.repo")) & (text.top_dir(su) == text.top_dir(sv)))
-    score = base + one(cu != cv, 2) + one(place, 2) + one(F.coalesce(F.col("u.community") != F.col("v.community"), F.lit(False)), 1)
-    score = F.when(F.col("relation") == "semantically_similar_to", F.floor(score * 1.5)).otherwise(score)
-    score = score + ((F.least("u.degree", "v.degree") <= 2) & (F.greatest("u.degree", "v.degree") >= 5)).cast("int")
-    ranked = edges.withColumn("score", score.cast("long")).orderBy(F.desc("score"), "ord", "src", "dst", "relation").limit(top_n)
-    return ranked.select("src", "dst", "relation", "score", "ord")
+    base = F.when(confidence == "AMBIGUOUS", 3).when(confidence == "INFERRED", 2).otherwise(1)
+    edges = graph.edges.where(~F.col("relation").isin(*STRUCTURAL_RELATIONS)).select("src", "dst", "relation", "ord", base.alias("base"))
+    category = text.file_category(F.col("source_file"))
+    files = graph.nodes.where("source_file <> ''").groupBy("source_file").count()
+    sizes = sorted((n, c) for c, n in files.groupBy(category.alias("category")).agg(F.sum("count")).collect())
+    rarer = sum(n for n, _ in sizes[:-1])
+    differ = F.lit(rarer > 0)
+    if 0 < rarer <= few:
+        rare = graph.nodes.where((F.col("source_file") != "") & (category != sizes[-1][1])).select("id").distinct()
+        if rarer <= LISTED:
+            ids = [r["id"] for r in rare.collect()]
+            differ = F.col("src").isin(ids) | F.col("dst").isin(ids)
+        else:
+            rare = F.broadcast(table(rare))
+            edges = edges.join(rare.select(F.col("id").alias("src"), F.lit(True).alias("rare_u")), "src", "left")
+            edges = edges.join(rare.select(F.col("id").alias("dst"), F.lit(True).alias("rare_v")), "dst", "left")
+            differ = F.col("rare_u").isNotNull() | F.col("rare_v").isNotNull()
+    bound = F.col("base") + F.coalesce(differ, F.lit(True)).cast("int") * 2 + 3
+    bound = F.when(F.col("relation") == "semantically_similar_to", F.floor(bound * 1.5)).otherwise(bound) + 1
+    return edges.select("src", "dst", "relation", "ord", "base", bound.cast("long").alias("bound"))
+
+
+#: Places before and after all others.
+FIRST, LAST = -(2**63), 2**63 - 1
+
+
+def surprises(graph: PropertyGraph, top_n: int = 10, few: int = 100_000) -> DataFrame:
+    """(src, dst, relation, score, ord): cross-file edges between entities by how little they are to be expected.
+
+    The earliest edges of each base and bound, about `few` in all, are scored first. All others have to reach the last of
+    their top rows: by the bound before ends are joined, and by the score without degrees before degrees are.
+    """
+    order = (F.desc("score"), "ord", "src", "dst", "relation")
+    edges = _bounded(graph, few)
+    places = [0.5**i for i in range(1, 15)]
+    kinds = edges.groupBy("base", "bound").agg(F.count("*").alias("n"), F.count("ord").alias("placed"), F.max("ord").alias("latest"), F.percentile_approx("ord", places).alias("cuts")).collect()
+    share = few // max(1, len(kinds))
+
+    def last_place(kind) -> int | None:
+        """The last place of a kind that is scored first; none if all of the kind is."""
+        if kind["n"] <= share:
+            return None
+        fits = [cut for place, cut in zip(places, kind["cuts"] or []) if place * kind["n"] <= share]
+        return fits[0] if fits else (kind["cuts"] or [-1])[-1]
+
+    def upto(places: dict[int, int], key: Column, unplaced: int) -> Column:
+        """At most at the place of a key; a row without place is at `unplaced`."""
+        cuts = F.create_map(*[F.lit(x) for key_and_place in places.items() for x in key_and_place])
+        return F.coalesce(F.coalesce("ord", F.lit(unplaced)) <= F.element_at(cuts, key), F.lit(False)) if places else F.lit(False)
+
+    def least_scores(rows: DataFrame, n: int) -> DataFrame:
+        nodes = graph.nodes.select("id", "label", "source_file", "repo", "community")
+        if n <= 4 * few:  # the nodes among the ends are told before anything is computed of them
+            nodes = table(nodes.join(F.broadcast(ends_of(rows)), "id", "left_semi"))
+        return _least_scores(rows, _scored_ends(nodes))
+
+    def ends_of(rows: DataFrame) -> DataFrame:
+        return table(rows.select(F.explode(F.array("src", "dst")).alias("id")).where("id is not null").distinct())
+
+    def scores(rows: DataFrame, n: int) -> DataFrame:
+        return _scores(rows, graph.degrees_of(ends_of(rows)) if n <= 4 * few else graph.degrees())
+
+    kinds = [(kind, last_place(kind)) for kind in kinds]
+    # what base and place say comes before the bound, for which ids are made
+    nearest: dict[int, int] = {}
+    for kind, cut in kinds:
+        latest = (FIRST if kind["latest"] is None else kind["latest"]) if cut is None else cut
+        nearest[kind["base"]] = max(latest, nearest.get(kind["base"], FIRST))
+    early = upto({kind["base"] * 100 + kind["bound"]: LAST if cut is None else cut for kind, cut in kinds}, F.col("base").cast("long") * 100 + F.col("bound"), LAST)
+    first = table(edges.where(upto(nearest, F.col("base"), FIRST)).where(early))
+    n = first.count()
+    found = table(scores(table(least_scores(first, n)), n).orderBy(*order).limit(top_n))
+    known = found.orderBy(*order).collect()
+    last = known[-1] if len(known) == top_n else None
+
+    def reaches(score: Column) -> Column:
+        return F.lit(True) if last is None else (score > last["score"]) | ((score == last["score"]) & (F.coalesce("ord", F.lit(FIRST)) <= (FIRST if last["ord"] is None else last["ord"])))
+
+    def left_open(kind, cut: int | None) -> bool:
+        if cut is None or last is None:
+            return cut is not None
+        before = kind["placed"] < kind["n"] or (last["ord"] is not None and cut < last["ord"])
+        return kind["bound"] > last["score"] or (kind["bound"] == last["score"] and before)
+
+    later = [kind for kind, cut in kinds if left_open(kind, cut)]
+    if later:
+        nearest = {}
+        for kind in later:
+            any_place = last is None or kind["bound"] > last["score"]
+            nearest[kind["base"]] = max(LAST if any_place else FIRST if last["ord"] is None else last["ord"], nearest.get(kind["base"], FIRST))
+        n = sum(kind["n"] for kind in later)
+        rows = edges.where(upto(nearest, F.col("base"), FIRST)).where(~early & reaches(F.col("bound")))
+        rows = table(least_scores(table(rows) if n <= 4 * few else rows, n).where(reaches(F.col("least") + 1)))
+        n = rows.count()
+        if n:
+            found = found.union(scores(rows, n))
+    return found.orderBy(*order).limit(top_n)
 
 
 def bridges(graph: PropertyGraph, top_n: int = 10) -> DataFrame:
